@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldgrid.llm import quality_rules, url_reputation
+from fieldgrid.llm import decontamination, pii, quality_rules, url_reputation
 from fieldgrid.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = url_reputation.outcomes_from_labels(table(spark, sf_dir, "labels"))
     return url_reputation.judge_pages(table(spark, sf_dir, "pages"), outcomes)
@@ -17,5 +21,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op6_quality_rules)}
-ORACLES = {"op2_url_filters": url_reputation.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op6_quality_rules, op8_decontamination)}
+ORACLES = {"op2_url_filters": url_reputation.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op8_decontamination": decontamination.ORACLE_SQL}
