@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldgrid.llm import decontamination, pii, quality_rules, url_reputation
-from fieldgrid.llm.common import table
+from fieldgrid.llm import decontamination, licenses, packing, pii, quality_rules, rule_ensemble, token_rollup, url_reputation
+from fieldgrid.llm.common import shared_dir, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,15 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_pages(table(spark, sf_dir, "pages"), outcomes)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}"
+    return token_rollup.load_corpus(spark, table(spark, sf_dir, "documents"), path)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -25,5 +36,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op6_quality_rules, op8_decontamination)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_license_scan, op4_token_counts, op6_quality_rules, op8_decontamination, op9_quality_classifier, op10_packing)}
 ORACLES = {"op2_url_filters": url_reputation.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op8_decontamination": decontamination.ORACLE_SQL}
