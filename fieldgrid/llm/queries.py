@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldgrid.llm import bag_minhash, decontamination, licenses, packing, pii, quality_rules, rule_ensemble, token_rollup, url_reputation
+from fieldgrid.llm import bag_minhash, decontamination, licenses, packing, pii, quality_rules, rule_ensemble, suffix_dedup, token_rollup, url_reputation
 from fieldgrid.llm.common import shared_dir, table
 
 
@@ -36,6 +36,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents")).drop("bytes")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,5 +52,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_license_scan, op4_token_counts, op5_near_dedup, op6_quality_rules, op8_decontamination, op9_quality_classifier, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_license_scan, op4_token_counts, op5_near_dedup, op6_quality_rules, op7_suffix_dedup, op8_decontamination, op9_quality_classifier, op10_packing)}
 ORACLES = {"op2_url_filters": url_reputation.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op8_decontamination": decontamination.ORACLE_SQL}
