@@ -108,7 +108,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
     hits, _ = find_windows(docs, benchmark, window, shingle)
     keys = materialise(hits.select(F.col("key").alias("_key")).distinct(), "contaminated")
     keyed = docs.select(F.struct("*").alias("_row"), F.sha2(text_or_empty(), 256).alias("_key"))
-    return keyed.join(keys, "_key", "left_anti").select("_row.*")
+    return keyed.join(broadcast_if_small(keys), "_key", "left_anti").select("_row.*")
 
 
 ORACLE_SQL = r"""
