@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldgrid.functions import bands, scores
-from fieldgrid.operators import focal, metrics, mosaic, spatial, vector
+from fieldgrid.operators import focal, metrics, model, mosaic, spatial, vector
 from fieldgrid.plans import fixtures as fx
+from fieldgrid.plans.config import ModelingConfig
 from fieldgrid.sources import sinks
 
 REQ = fx.REQUIRED
@@ -365,3 +366,46 @@ def index_stack_schema(spark, d):
     names = bands.add_indices(fx.pixels(spark, d)).columns[2:]
     raw = set(sinks.raw_bands(names))
     return spark.createDataFrame([(i, n, n in raw) for i, n in enumerate(names)], "ord int, name string, is_raw boolean")
+
+
+# ---- models --------------------------------------------------------------------------------------
+
+#: Few trials and trees: the queries show the operators, the defaults of the configuration are larger.
+SMALL = {"rf_space": {"n_estimators": [10, 20], "max_depth": [4, 8]}, "svm_space": {"C": [1.0, 10.0], "gamma": ["scale"]}, "randomized_search_iterations": 2, "selector_trees": 10}
+
+
+def _model_samples(spark, d):
+    """Training points with features, a class that follows the bands, and folds of whole blocks."""
+    px = _six(spark, d)
+    names = _features(px)
+    s = vector.sample_points(fx.points(spark, d).select("feature_id", "x", "y"), px, fx.grid(spark, d), names)
+    code = F.when(F.col("B08") > 150000, 1).when(F.col("B03") > 100, 2).otherwise(3).cast("int")
+    s = spatial.add_blocks(s.withColumn("label", code).withColumnRenamed("feature_id", "sample_id"), 250.0)
+    return spatial.add_folds(s, 3), names
+
+
+@query
+def feature_experiments(spark, d):
+    """Scores of the three feature experiments and which one wins."""
+    samples, names = _model_samples(spark, d)
+    best, found = model.feature_experiments(samples.persist(), names, ModelingConfig(**SMALL), {"n_estimators": 10, "max_depth": 6})
+    rows = [(e, m, r[m]["mean"], r[m]["std"], e == best) for e, r in found.items() for m in model.METRICS]
+    return spark.createDataFrame(rows, "experiment string, metric string, mean double, std double, chosen boolean")
+
+
+@query
+def model_comparison(spark, d):
+    """Baseline, forest and SVM under the same folds, and the choice."""
+    samples, names = _model_samples(spark, d)
+    cfg = ModelingConfig(**SMALL, run_feature_experiments=False)
+    picked = model.select_model(samples.persist(), names, cfg)
+    rows = [(k, m, r[m]["mean"], r[m]["std"], k == picked.name) for k, r in picked.results.items() if k != "experiments" for m in model.METRICS]
+    return spark.createDataFrame(rows, "model string, metric string, mean double, std double, chosen boolean")
+
+
+@query
+def rf_predict_map(spark, d):
+    """Every pixel's class, confidence, uncertainty and entropy under a fitted forest."""
+    samples, names = _model_samples(spark, d)
+    fitted = model.fit_forest(samples, names, "bands_plus_indices", {"n_estimators": 20, "max_depth": 6}, ModelingConfig(**SMALL))
+    return model.classify_pixels(fitted, _six(spark, d), names)
