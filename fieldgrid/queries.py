@@ -371,7 +371,7 @@ def index_stack_schema(spark, d):
 # ---- models --------------------------------------------------------------------------------------
 
 #: Few trials and trees: the queries show the operators, the defaults of the configuration are larger.
-SMALL = {"rf_space": {"n_estimators": [10, 20], "max_depth": [4, 8]}, "svm_space": {"C": [1.0, 10.0], "gamma": ["scale"]}, "randomized_search_iterations": 2, "selector_trees": 10}
+SMALL = {"rf_space": {"n_estimators": [4, 8], "max_depth": [3, 5]}, "svm_space": {"C": [1.0, 10.0], "gamma": ["scale"]}, "randomized_search_iterations": 2, "selector_trees": 5}
 
 
 def _model_samples(spark, d):
@@ -381,14 +381,14 @@ def _model_samples(spark, d):
     s = vector.sample_points(fx.points(spark, d).select("feature_id", "x", "y"), px, fx.grid(spark, d), names)
     code = F.when(F.col("B08") > 150000, 1).when(F.col("B03") > 100, 2).otherwise(3).cast("int")
     s = spatial.add_blocks(s.withColumn("label", code).withColumnRenamed("feature_id", "sample_id"), 250.0)
-    return spatial.add_folds(s, 3), names
+    return spatial.add_folds(s, 2).coalesce(2), names  # a few samples per feature: tiny beside the pixels
 
 
 @query
 def feature_experiments(spark, d):
     """Scores of the three feature experiments and which one wins."""
     samples, names = _model_samples(spark, d)
-    best, found = model.feature_experiments(samples.persist(), names, ModelingConfig(**SMALL), {"n_estimators": 10, "max_depth": 6})
+    best, found = model.feature_experiments(samples.persist(), names, ModelingConfig(**SMALL), {"n_estimators": 5, "max_depth": 4})
     rows = [(e, m, r[m]["mean"], r[m]["std"], e == best) for e, r in found.items() for m in model.METRICS]
     return spark.createDataFrame(rows, "experiment string, metric string, mean double, std double, chosen boolean")
 
@@ -407,5 +407,5 @@ def model_comparison(spark, d):
 def rf_predict_map(spark, d):
     """Every pixel's class, confidence, uncertainty and entropy under a fitted forest."""
     samples, names = _model_samples(spark, d)
-    fitted = model.fit_forest(samples, names, "bands_plus_indices", {"n_estimators": 20, "max_depth": 6}, ModelingConfig(**SMALL))
+    fitted = model.fit_forest(samples, names, "bands_plus_indices", {"n_estimators": 8, "max_depth": 4}, ModelingConfig(**SMALL))
     return model.classify_pixels(fitted, _six(spark, d), names)
