@@ -46,10 +46,12 @@ GIVEN = {
     ("f", "greek"): ["Άννα", "Ελένη", "Ζωή", "Κατερίνα", "Μαρία", "Σοφία"],
 }
 _title = "|".join(sorted(TITLES["m"] + TITLES["f"], key=len, reverse=True))
+#: What stands before a secret that only its name gives away; it stays. Fixed values.
+NAMED = r"(?i:password|passwd|pwd|secret|api[_-]?key)[ \t]{0,2}[=:][ \t]{0,2}[\"']?"
 #: type -> pattern; the order decides which one a mention belongs to.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?=[0-9]*+[A-Fa-f])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abprs]-[A-Za-z0-9-]{10,72})(?![A-Za-z0-9])",
+    "secret": r"(?:" + NAMED + r"(?=[A-Za-z_+/.~-]{0,64}[0-9])[A-Za-z0-9](?:[A-Za-z0-9_+/.~-]{4,126}[A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?=[0-9]*+[A-Fa-f])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abprs]-[A-Za-z0-9-]{10,72})(?![A-Za-z0-9]))",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
@@ -76,11 +78,12 @@ def canonical(kind: Column, mention: Column) -> Column:
     """One form for all spellings of an entity. Titles go, but their gender stays in front of a name."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
     name = F.regexp_replace(mention, r"^\S+ ", "")
+    value = F.regexp_replace(mention, "^" + NAMED, "")
     return (
         F.when(kind == "email", F.lower(mention))
         .when(kind.isin("phone", "card", "ssn"), digits)
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
-        .when(kind == "secret", F.lower(mention))
+        .when(kind == "secret", F.when(value == F.upper(value), F.lower(value)).otherwise(value))
         .when(kind == "person", F.concat(_gender(mention), F.lit(":"), name))
         .otherwise(mention)
     )
@@ -194,11 +197,14 @@ def _spelled(kind: Column, mention: Column, surrogate: Column) -> Column:
         F.transform(chars, lambda c, i: F.when(F.substring(counted, i + 1, F.lit(1)) == "x", F.substring(surrogate, F.length(F.replace(F.substring(counted, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1))).otherwise(c)), ""
     )
     title = F.regexp_extract(mention, r"^(\S+ )", 1)
-    shouted = (F.upper(mention) == mention) & (F.lower(mention) != mention)
+    front = F.regexp_extract(mention, "^(" + NAMED + ")", 1)
+    value = F.regexp_replace(mention, "^" + NAMED, "")
+    shouted = (F.upper(value) == value) & (F.lower(value) != value)
     return (
         F.when(kind.isin("phone", "card", "ssn", "iban"), fill)
         .when(kind == "person", F.concat(title, F.substring(surrogate, 3, 400)))
-        .when(kind.isin("email", "secret") & shouted, F.upper(surrogate))
+        .when(kind == "secret", F.concat(front, F.when(shouted, F.upper(surrogate)).otherwise(surrogate)))
+        .when((kind == "email") & shouted, F.upper(surrogate))
         .otherwise(surrogate)
     )
 
