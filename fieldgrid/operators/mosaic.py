@@ -14,14 +14,15 @@ class SceneError(ValueError):
     """The imagery doesn't hold what the configuration asks for."""
 
 
-def scene_files(files: DataFrame) -> DataFrame:
+def scene_files(files: DataFrame, auxiliary: bool = False) -> DataFrame:
     """files(path relative to the imagery root) -> scene_id, path. A SAFE granule at any depth is a scene, and only files
-    under its IMG_DATA count; other files belong to their first folder ("." at the root). Auxiliary folders are skipped."""
-    granule = F.regexp_extract("path", r"^((?:.*/)?[^/]+\.SAFE/GRANULE/[^/]+)/IMG_DATA/", 1)
+    under its IMG_DATA count; other files belong to their first folder ("." at the root). Auxiliary folders are skipped,
+    unless masks are looked for in them."""
+    granule = F.regexp_extract("path", r"^((?:.*/)?[^/]+\.SAFE/GRANULE/[^/]+)/" + ("" if auxiliary else "IMG_DATA/"), 1)
     in_safe = F.col("path").rlike(r"(?:^|/)[^/]+\.SAFE/")
     top = F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)).otherwise(F.lit("."))
     supported = F.lower("path").rlike(r"\.(?:tif|tiff|jp2)$")
-    scene = F.when(in_safe, F.nullif(granule, F.lit(""))).otherwise(F.when(~paths.is_auxiliary(F.col("path")), top))
+    scene = F.when(in_safe, F.nullif(granule, F.lit(""))).otherwise(F.when(F.lit(auxiliary) | ~paths.is_auxiliary(F.col("path")), top))
     return files.filter(supported).select(scene.alias("scene_id"), "path").filter(F.col("scene_id").isNotNull())
 
 
@@ -125,48 +126,52 @@ def stack(pixels: DataFrame, bands: list[str]) -> DataFrame:
     return pixels.filter(F.col("value").isNotNull()).groupBy("prow", "pcol").agg(*first)
 
 
+def _offsets(source: Grid, target: Grid) -> tuple[float, float]:
+    """How far the source's corner lies below and right of the target's."""
+    return target.y0 - source.y0, source.x0 - target.x0
+
+
 def _targets(source: Grid, target: Grid, pixels: DataFrame, reach: float) -> DataFrame:
     """Each source pixel with the target pixels whose centres lie within ``reach`` source pixels of its centre, per axis.
 
     Sources scatter to targets: the number of copies is fixed by the two resolutions, and no join is needed."""
+    down, right = _offsets(source, target)
 
-    def axis(index: Column, n: int) -> Column:
-        centre = (index + 0.5) * source.res
+    def axis(index: Column, n: int, offset: float) -> Column:
+        centre = offset + (index + 0.5) * source.res
         low = F.ceil((centre - reach * source.res) / target.res - 0.5)
         high = F.floor((centre + reach * source.res) / target.res - 0.5)
         low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(n - 1))
         return F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    rows = axis(F.col("prow"), target.height)
-    cols = axis(F.col("pcol"), target.width)
-    return pixels.withColumn("trow", F.explode(rows)).withColumn("tcol", F.explode(cols))
+    placed = pixels.withColumn("trow", F.explode(axis(F.col("prow"), target.height, down)))
+    return placed.withColumn("tcol", F.explode(axis(F.col("pcol"), target.width, right)))
 
 
-def _same_corner(source: Grid, target: Grid) -> None:
-    if (source.x0, source.y0) != (target.x0, target.y0):
-        raise ValueError("resampling needs grids with the same corner")
+def _at(target_index: Column, offset: float, source: Grid, target: Grid) -> Column:
+    """A target centre in source pixels from the source's edge."""
+    return ((target_index + 0.5) * target.res - offset) / source.res
 
 
-def resample_nearest(pixels: DataFrame, source: Grid, target: Grid, value: str) -> DataFrame:
-    """prow, pcol of the target and the value of the source pixel that holds its centre."""
-    _same_corner(source, target)
-    r = F.floor((F.col("trow") + 0.5) * target.res / source.res)
-    c = F.floor((F.col("tcol") + 0.5) * target.res / source.res)
-    hits = _targets(source, target, pixels.select("prow", "pcol", F.col(value).alias("v")), 0.5)
-    return hits.filter((r == F.col("prow")) & (c == F.col("pcol"))).select(F.col("trow").alias("prow"), F.col("tcol").alias("pcol"), F.col("v").alias(value))
+def resample_nearest(pixels: DataFrame, source: Grid, target: Grid, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, prow and pcol of the target, and the value of the source pixel that holds its centre."""
+    down, right = _offsets(source, target)
+    hits = _targets(source, target, pixels.select(*keys, "prow", "pcol", F.col(value).alias("v")), 0.5)
+    same = (F.floor(_at(F.col("trow"), down, source, target)) == F.col("prow")) & (F.floor(_at(F.col("tcol"), right, source, target)) == F.col("pcol"))
+    return hits.filter(same).select(*keys, F.col("trow").alias("prow"), F.col("tcol").alias("pcol"), F.col("v").alias(value))
 
 
-def resample_bilinear(pixels: DataFrame, source: Grid, target: Grid, value: str) -> DataFrame:
+def resample_bilinear(pixels: DataFrame, source: Grid, target: Grid, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """The mean of the up to four valid source pixels around a target centre, weighted by closeness per axis."""
-    _same_corner(source, target)
+    down, right = _offsets(source, target)
 
-    def weight(t: Column, s: Column) -> Column:
-        return F.lit(1.0) - F.abs((t + 0.5) * target.res / source.res - 0.5 - s)
+    def weight(t: Column, s: Column, offset: float) -> Column:
+        return F.greatest(F.lit(1.0) - F.abs(_at(t, offset, source, target) - 0.5 - s), F.lit(0.0))
 
-    hits = _targets(source, target, pixels.select("prow", "pcol", F.col(value).alias("v")).filter("v IS NOT NULL"), 1.0)
-    w = F.greatest(weight(F.col("trow"), F.col("prow")), F.lit(0.0)) * F.greatest(weight(F.col("tcol"), F.col("pcol")), F.lit(0.0))
-    summed = hits.withColumn("w", w).filter("w > 0").groupBy("trow", "tcol").agg(F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum("w").alias("w"))
-    return summed.select(F.col("trow").alias("prow"), F.col("tcol").alias("pcol"), (F.col("wv") / F.col("w")).alias(value))
+    hits = _targets(source, target, pixels.select(*keys, "prow", "pcol", F.col(value).alias("v")).filter("v IS NOT NULL"), 1.0)
+    w = weight(F.col("trow"), F.col("prow"), down) * weight(F.col("tcol"), F.col("pcol"), right)
+    summed = hits.withColumn("w", w).filter("w > 1e-12").groupBy(*keys, "trow", "tcol").agg(F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum("w").alias("w"))
+    return summed.select(*keys, F.col("trow").alias("prow"), F.col("tcol").alias("pcol"), (F.col("wv") / F.col("w")).alias(value))
 
 
 RESAMPLING = {"nearest": resample_nearest, "bilinear": resample_bilinear}

@@ -22,46 +22,60 @@ class Stack:
     names: list[str]
 
 
+def reference_grid(spark: SparkSession, cfg: ProjectConfig, grids: dict[str, Grid], first: str) -> tuple[Grid, DataFrame | None]:
+    """The run's grid and its area of interest: system and resolution of the first file, extent of the area or of all files."""
+    srid = require_projected(safe.find_srid(grids[first].srid, f"{cfg.paths.imagery_path}/{first}"))
+    if other := {g.srid for g in grids.values()} - {srid, None}:
+        raise mosaic.SceneError(f"scenes in several reference systems: {sorted(other | {srid})}")
+    boxes, area = [g.bounds() for g in grids.values()], None
+    extent = (min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes))
+    if cfg.paths.aoi_path is not None:
+        if not cfg.paths.aoi_path.exists():
+            raise FileNotFoundError(cfg.paths.aoi_path)
+        area = vectors.reproject_layer(vectors.read_layer(spark, str(cfg.paths.aoi_path)), cfg.paths.vector_srid or srid, srid)
+        extent = vectors.bounds(area)
+        if extent is None:
+            raise vectors.VectorError("the area of interest is empty")
+        for path, b in zip(grids, boxes, strict=True):
+            if min(b[2], extent[2]) <= max(b[0], extent[0]) or min(b[3], extent[3]) <= max(b[1], extent[1]):
+                raise mosaic.SceneError(f"{path} lies outside the area of interest")
+    return Grid.covering(extent, cfg.raster.target_resolution or grids[first].res, srid, cfg.raster.float_nodata), area
+
+
+def to_grid(pixels: DataFrame, path: str, grids: dict[str, Grid], target: Grid, method: str, value: str, keys: tuple[str, ...]) -> DataFrame:
+    """pixels(path, keys, prow, pcol, value) of files on any grids, on the target grid: one branch per distinct grid."""
+    out = None
+    for source in sorted(set(grids.values()), key=lambda g: (g.res, g.x0, g.y0, g.width, g.height)):
+        own = pixels.filter(F.col(path).isin([p for p, g in grids.items() if g == source]))
+        aligned = source.res == target.res and (source.x0 - target.x0) % target.res == 0 and (source.y0 - target.y0) % target.res == 0
+        own = mosaic.resampling("nearest" if aligned else method)(own, source, target, value, keys)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def prepare_stack(spark: SparkSession, cfg: ProjectConfig) -> Stack:
-    """Discover, resample, mask, mosaic, clip and derive. Scenes share one grid corner."""
-    r, root = cfg.raster, str(cfg.paths.imagery_path)
+    """Discover, resample, mask, mosaic, clip and derive."""
+    r, root = cfg.raster, str(cfg.paths.imagery_path).rstrip("/")
     files = safe.list_files(spark, root)
     catalog = mosaic.discover(files, list(r.required_bands), list(r.optional_bands), r.target_resolution)
-    rows = catalog.collect()  # one row per scene and band
+    rows = sorted(catalog.collect(), key=lambda x: (x.scene_ord, x.band))  # one row per scene and band
     have = {x.band for x in rows}
     raw = list(r.required_bands) + [b for b in r.optional_bands if b in have]
-    heads = {p.rpartition(root.rstrip("/") + "/")[2]: g for p, (g, _) in geotiff.read_grids(spark, root).items()}
-    first = heads[min((x.scene_ord, raw.index(x.band), x.path) for x in rows)[2]]
-    srid = require_projected(safe.find_srid(first.srid, f"{root}/{rows[0].path}"))
-    res = r.target_resolution or first.res
-    target = Grid(first.x0, first.y0, res, int(-(-first.width * first.res // res)), int(-(-first.height * first.res // res)), srid, r.float_nodata)
-    values = geotiff.read_pixels(spark, root).select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("path"), "prow", "pcol", "value")
-    known = values.join(F.broadcast(catalog), "path")
-    parts = []
-    for path, grid in heads.items():  # resampling is per source grid: one branch per distinct grid
-        parts.append((grid.res, path))
-    out = None
-    for res_ in sorted({p[0] for p in parts}):
-        source = next(g for g in heads.values() if g.res == res_)
-        own = known.filter(F.col("path").isin([p for q, p in parts if q == res_]))
-        if res_ != res:
-            method = mosaic.resampling(r.reflectance_resampling)
-            pieces = [method(own.filter((F.col("scene_id") == x.scene_id) & (F.col("band") == x.band)), source, target, "value").withColumns({"scene_id": F.lit(x.scene_id), "scene_ord": F.lit(x.scene_ord), "band": F.lit(x.band)}) for x in rows if heads[x.path].res == res_]
-            own = None
-            for p in pieces:
-                own = p if own is None else own.unionByName(p)
-        else:
-            own = own.select("prow", "pcol", "value", "scene_id", "scene_ord", "band")
-        if own is not None:
-            own = own.select("prow", "pcol", F.col("value").cast("float").alias("value"), "scene_id", "scene_ord", "band")
-            out = own if out is None else out.unionByName(own)
+    heads = {p.rpartition(root + "/")[2]: g for p, (g, _) in geotiff.read_grids(spark, root).items()}
+    first = next(x.path for x in rows if x.band == raw[0])
+    target, area = reference_grid(spark, cfg, {x.path: heads[x.path] for x in rows}, first)
+    values = geotiff.read_pixels(spark, root).select(F.substring_index("path", root + "/", -1).alias("path"), "prow", "pcol", F.col("value").cast("double").alias("value"))
+    keys = ("scene_id", "scene_ord", "band")
+    out = to_grid(values.join(F.broadcast(catalog), "path"), "path", {x.path: heads[x.path] for x in rows}, target, r.reflectance_resampling, "value", keys)
     if r.use_cloud_masks:
-        found = mosaic.find_masks(mosaic.scene_files(files), r.cloud_mask_regex, r.require_cloud_mask).filter("mask_path IS NOT NULL")
-        masks = geotiff.read_pixels(spark, root).select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("mask_path"), "prow", "pcol", F.col("value").cast("int").alias("mask")).join(F.broadcast(found), "mask_path")
-        out = mosaic.apply_masks(out, masks, r.cloud_mask_mode, r.cloud_invalid_values)
-    pixels = mosaic.stack(out, raw)
-    if cfg.paths.aoi_path is not None:
-        area = vectors.read_layer(spark, str(cfg.paths.aoi_path))
+        found = mosaic.find_masks(mosaic.scene_files(files, auxiliary=True), r.cloud_mask_regex, r.require_cloud_mask).filter("mask_path IS NOT NULL").persist()
+        where = {m.mask_path: heads[m.mask_path] for m in found.collect()}
+        if where:
+            masks = values.withColumnRenamed("path", "mask_path").join(F.broadcast(found), "mask_path")
+            masks = to_grid(masks, "mask_path", where, target, r.mask_resampling, "value", ("scene_id",))
+            out = mosaic.apply_masks(out, masks.select("scene_id", "prow", "pcol", F.col("value").cast("int").alias("mask")), r.cloud_mask_mode, r.cloud_invalid_values)
+    pixels = mosaic.stack(out.withColumn("value", F.col("value").cast("float")), raw)
+    if area is not None:
         pixels = vector.inside_area(pixels, area.select("feature_id", "rings"), target)
     pixels = add_indices(mask_common(pixels, raw), "float")
     return Stack(pixels, target, [c for c in pixels.columns if c not in ("prow", "pcol")])
@@ -95,7 +109,8 @@ def run(spark: SparkSession, cfg: ProjectConfig) -> dict:
     geotiff.write_tiles(stack.pixels, path)
     stack.pixels = spark.read.parquet(path).drop("tile_row", "tile_col")
     v = cfg.validation
-    samples, classes, report = training_samples(spark, stack, vectors.read_layer(spark, str(cfg.paths.training_path)), cfg)
+    layer = vectors.reproject_layer(vectors.read_layer(spark, str(cfg.paths.training_path)), cfg.paths.vector_srid or stack.grid.srid, stack.grid.srid)
+    samples, classes, report = training_samples(spark, stack, layer, cfg)
     split = spatial.split_holdout(spatial.add_blocks(samples, v.block_size), v.holdout_fraction, v.random_state, v.spatial_gap_distance)
     split.write.mode("overwrite").parquet(str(out / "prepared" / "samples.parquet"))
     split = spark.read.parquet(str(out / "prepared" / "samples.parquet"))

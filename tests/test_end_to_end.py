@@ -20,7 +20,12 @@ def test_run(spark, tmp_path):
             values = (100 + 50 * kind * (k + 1) + rng.normal(0, 3, (40, 40))).astype("f4")
             if scene == "S1":
                 values[:3] = -9999.0
-            (tmp_path / "img" / scene / f"T_{band}_10m.tif").write_bytes(geotiff.write(values, g, [band]))
+            coarse = scene == "S2" and band == "B12"  # one band at another resolution
+            grid, values = (Grid(g.x0, g.y0, 20.0, 20, 20, 32735, -9999.0), values[::2, ::2]) if coarse else (g, values)
+            (tmp_path / "img" / scene / f"T_{band}_{20 if coarse else 10}m.tif").write_bytes(geotiff.write(values, grid, [band]))
+        mask = np.zeros((40, 40), "u1")
+        mask[20:, :4] = 1 if scene == "S1" else 0
+        (tmp_path / "img" / scene / "cloud.tif").write_bytes(geotiff.write(mask, g))
     features = []
     for i in range(120):
         r, c = (int(v) for v in rng.integers(0, 40, 2))
@@ -28,7 +33,7 @@ def test_run(spark, tmp_path):
     (tmp_path / "train.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
     cfg = ProjectConfig(
         PathConfig(tmp_path, tmp_path / "img", tmp_path / "train.geojson"),
-        raster=RasterPrepConfig(optional_bands=()),
+        raster=RasterPrepConfig(optional_bands=(), use_cloud_masks=True, cloud_mask_regex=r"^cloud\.tif$"),
         validation=SpatialValidationConfig(block_size=100.0, requested_cv_splits=2),
         modeling=ModelingConfig(rf_space={"n_estimators": [3], "max_depth": [4]}, randomized_search_iterations=1, include_svm=False, run_feature_experiments=False),
     )

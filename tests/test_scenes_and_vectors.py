@@ -39,6 +39,23 @@ def test_stack_keeps_the_first_valid_value_per_band(spark):
     assert (got.B1, got.B2) == (5.0, 7.0)
 
 
+def test_resampling_between_shifted_grids(spark):
+    source, target = Grid(100.0, 200.0, 20.0, 3, 3), Grid(95.0, 210.0, 10.0, 8, 8)
+    v = np.arange(9, dtype=float).reshape(3, 3)
+    px = spark.createDataFrame([("k", r, c, float(v[r, c])) for r in range(3) for c in range(3) if (r, c) != (1, 1)], "k string, prow int, pcol int, v double")
+    near = {(r.prow, r.pcol): r.v for r in mosaic.resample_nearest(px, source, target, "v", ("k",)).collect()}
+    soft = {(r.prow, r.pcol): r.v for r in mosaic.resample_bilinear(px, source, target, "v", ("k",)).collect()}
+    for r in range(8):
+        for c in range(8):
+            y, x = (200 - (210 - (r * 10 + 5))) / 20, (95 + c * 10 + 5 - 100) / 20
+            cell = (int(np.floor(y)), int(np.floor(x)))
+            inside = 0 <= cell[0] < 3 and 0 <= cell[1] < 3 and cell != (1, 1)
+            assert near.get((r, c)) == (v[cell] if inside else None)
+            parts = [(max(0, 1 - abs(y - 0.5 - i)) * max(0, 1 - abs(x - 0.5 - j)), v[i, j]) for i in range(3) for j in range(3) if (i, j) != (1, 1)]
+            w = sum(p[0] for p in parts)
+            assert soft.get((r, c)) == (pytest.approx(sum(a * b for a, b in parts) / w) if w > 1e-12 else None)
+
+
 def _ring(*pts):
     return [{"x": float(x), "y": float(y)} for x, y in pts]
 
