@@ -12,12 +12,13 @@ all shingles are dismissed by their first point, and the limit is doubled in the
 rare case that a register stays empty. Signatures are therefore cheap and exact.
 
 Classes. Equal word sequences are one node (hot copies collapse in a map-side
-aggregate). Registers are banded; a band's members are compared with the band's
-least member first, then bands that still span several classes compare each
-member outside the largest class with every member of the other classes. Pairs
-within a class add nothing, so no bucket emits all its pairs, and yet every
-candidate pair of different classes is verified: the classes are exactly the
-connected components of the verified links. Verification is the exact multiset
+aggregate). Registers are banded; a bucket's members are compared with its hub
+first, the member that meets most others. Buckets that still span several
+classes compare each member outside the largest class with members of the other
+classes, unless their distances to the hub rule a link out. Pairs within a class
+add nothing, so no bucket emits all its pairs, and yet every candidate pair of
+different classes is verified or excluded: the classes are exactly the
+connected components of the candidate pairs that are links. Verification is the exact multiset
 overlap of the shingle bags.
 
 Defined cases: texts without words are singletons; texts of fewer than five
@@ -28,6 +29,8 @@ empty results; texts are hashed whole, whatever their length.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,9 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldgrid.llm.common import WHITESPACE, materialise
+from fieldgrid.llm.common import broadcast_if_small, materialise
 
 SHINGLE = 5
+#: What str.split() takes for white space beyond the six ASCII characters.
+_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 @dataclass(frozen=True)
@@ -95,49 +100,57 @@ def bag(words: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(out, return_counts=True)
 
 
-def signature(shingles: np.ndarray, counts: np.ndarray, registers: int) -> np.ndarray:
-    """Register minima as 64-bit point names. The limit on time only decides how many points are looked at."""
-    total = float(counts.sum())
+def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
+    """Register minima of many bags at once, as 64-bit point names. The limits on time only decide which points are
+    looked at; a bag with an empty register is done again with a doubled limit."""
+    total = np.array([c.sum() for _, c in bags], dtype=np.float64)
     limit = registers * (np.log(registers) + 6.0) / total
+    names = np.zeros((len(bags), registers), dtype=np.uint64)
+    todo = np.arange(len(bags))
     with np.errstate(over="ignore"):
-        while True:
-            best_time = np.full(registers, np.inf)
-            best_name = np.zeros(registers, dtype=np.uint64)
+        while len(todo):
+            live = np.concatenate([bags[d][0] for d in todo])
+            weight = np.concatenate([bags[d][1] for d in todo])
+            owner = np.repeat(np.arange(len(todo)), [len(bags[d][0]) for d in todo])
+            best, found = np.full(len(todo) * registers, np.inf), np.zeros(len(todo) * registers, dtype=np.uint64)
             level = 0
-            live, weight = shingles, counts
             while len(live):
                 low = 0 if level == 0 else 1 << (level - 1)
                 width = 1 if level == 0 else low
-                _points(live, weight, low, width, level, limit, registers, best_time, best_name)
+                _points(live, weight, owner, low, width, level, limit[todo], registers, best, found)
                 keep = weight > low + width
-                live, weight, level = live[keep], weight[keep], level + 1
-            if np.isfinite(best_time).all():
-                return best_name
-            limit *= 2
+                live, weight, owner, level = live[keep], weight[keep], owner[keep], level + 1
+            names[todo] = found.reshape(len(todo), registers)
+            todo = todo[~np.isfinite(best.reshape(len(todo), registers)).all(axis=1)]
+            limit[todo] *= 2
+    return names
+
+
+def signature(shingles: np.ndarray, counts: np.ndarray, registers: int) -> np.ndarray:
+    return signatures([(shingles, counts)], registers)[0]
 
 
-def _points(live, weight, low, width, level, limit, registers, best_time, best_name) -> None:
-    """Feed all points up to ``limit`` of the processes of one dyadic interval into the minima."""
+def _points(live, weight, owner, low, width, level, limit, registers, best, found) -> None:
+    """Feed all points up to their bag's limit, of the processes of one dyadic interval, into the minima."""
     seed = mix(live + np.uint64(level + 1) * _GOLD)
     time = np.zeros(len(seed))
-    while len(seed):
+    while True:
         seed = mix(seed + _GOLD)
         time = time - np.log(_unit(seed)) / width
-        near = time <= limit
-        seed, time, weight = seed[near], time[near], weight[near]
-        if not len(seed):
+        near = np.flatnonzero(time <= limit[owner])
+        if not len(near):
             return
+        seed, time, weight, owner = seed[near], time[near], weight[near], owner[near]
         place = mix(seed ^ _M2)
-        at = low + (place >> np.uint64(32)).astype(np.int64) % width
-        counts = at < weight
-        t, r, name = time[counts], (place[counts] & np.uint64(0xFFFFFFFF)).astype(np.int64) % registers, seed[counts]
-        order = np.lexsort((name, t))[::-1]  # the earliest point of a register is written last
-        t, r, name = t[order], r[order], name[order]
-        first = np.full(registers, np.inf)
-        names = np.zeros(registers, dtype=np.uint64)
-        first[r], names[r] = t, name
-        better = (first < best_time) | ((first == best_time) & np.isfinite(first) & (names < best_name))
-        best_time[better], best_name[better] = first[better], names[better]
+        at = owner * registers + (place & np.uint64(0xFFFFFFFF)).astype(np.int64) % registers
+        if width > 1 or low:
+            counts = low + (place >> np.uint64(32)).astype(np.int64) % width < weight
+            at, t, name = at[counts], time[counts], seed[counts]
+        else:
+            t, name = time, seed
+        np.minimum.at(best, at, t)
+        won = t == best[at]
+        found[at[won]] = name[won]
 
 
 def overlap(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> float:
@@ -147,46 +160,75 @@ def overlap(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> flo
     return both / (int(ca.sum()) + int(cb.sum()) - both)
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, node (hash of the words with single spaces; null without words)."""
-    words = F.btrim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[ \t\n\x0B\f\r]+", " "), F.lit(WHITESPACE))
-    return docs.withColumn("_plain", words).withColumn("node", F.when(F.col("_plain") != "", F.unhex(F.substring(F.sha2("_plain", 256), 1, 32))))
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with the row's number in the scan, which is the same whenever the same files are read."""
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("_n", F.monotonically_increasing_id())
 
 
-def sketch(docs: DataFrame, params: Params) -> DataFrame:
-    """node, bands (array of band hashes), shingles and counts (bytes of sorted hashes) for each row with words."""
-    texts = _nodes(docs).filter(F.col("node").isNotNull()).select("node", "_plain")
+def _chunks(part: pa.RecordBatch, most: int = 400_000) -> Iterator[list[int]]:
+    """Row numbers of a batch in runs whose texts have a bounded size together."""
+    run, size = [], 0
+    for i, text in enumerate(part.column("text")):
+        run.append(i)
+        size += text.as_buffer().size if text.is_valid else 0
+        if size >= most or len(run) >= 512:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def sketch(rows: DataFrame, params: Params) -> DataFrame:
+    """rows(_n, doc_id, text) -> _n, doc_id, node (hash of the word sequence) and bands; the last two null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         salt = mix(np.arange(1, params.bands + 1, dtype=np.uint64))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                bands, shingles, counts = [], [], []
-                for text in part.column(1).to_pylist():
-                    s, c = bag(text.split(" "), hashes)
-                    sig = signature(s, c, params.registers).reshape(params.bands, params.rows)
+            for chosen in _chunks(batch):
+                part = batch.take(pa.array(chosen))
+                words = [t.split() if t else [] for t in map(_plain, part.column("text").to_pylist())]
+                full = [i for i, w in enumerate(words) if w]
+                nodes, bands = [None] * len(words), [None] * len(words)
+                if full:
+                    sig = signatures([bag(words[i], hashes) for i in full], params.registers).reshape(len(full), params.bands, params.rows)
                     with np.errstate(over="ignore"):
-                        h = salt.copy()
+                        h = np.broadcast_to(salt, sig.shape[:2])
                         for k in range(params.rows):
-                            h = mix(h * _GOLD + sig[:, k])
-                    bands.append(h.view(np.int64))
-                    shingles.append(s.tobytes())
-                    counts.append(b"" if (c == 1).all() else c.astype(np.uint32).tobytes())
-                offsets = np.arange(len(bands) + 1, dtype=np.int32) * params.bands
-                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), listed, pa.array(shingles, pa.binary()), pa.array(counts, pa.binary())], names=["node", "bands", "shingles", "counts"])
+                            h = mix(h * _GOLD + sig[:, :, k])
+                    for i, row in zip(full, h.view(np.int64), strict=True):
+                        nodes[i] = hashlib.blake2b(" ".join(words[i]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                        bands[i] = row
+                yield pa.RecordBatch.from_arrays([part.column("_n"), part.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["_n", "doc_id", "node", "bands"])
+
+    return rows.select("_n", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_n long, doc_id long, node binary, bands array<long>")
+
+
+def _plain(text: str | None) -> str | None:
+    """Words are split at ASCII white space only; other white space is no border."""
+    return text if text is None else _OTHER_SPACE.sub("\u0000", text)
+
+
+def bags_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, shingles and counts (bytes of sorted hashes) for wanted(node, _n): one row of the scan for each node."""
+    texts = rows.select("_n", "text").join(broadcast_if_small(wanted), "_n").select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for chosen in _chunks(batch):
+                part = batch.take(pa.array(chosen))
+                found = [bag(_plain(t).split(), hashes) for t in part.column("text").to_pylist()]
+                counts = [b"" if (c == 1).all() else c.astype(np.uint32).tobytes() for _, c in found]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array(counts, pa.binary()), pa.array([int(c.sum()) for _, c in found], pa.int64())], names=["node", "shingles", "counts", "total"])
 
-    return texts.mapInArrow(run, "node binary, bands array<long>, shingles binary, counts binary")
+    return texts.mapInArrow(run, "node binary, shingles binary, counts binary, total long")
 
 
-def _verified(pairs: DataFrame, bags: DataFrame, params: Params) -> DataFrame:
-    """The pairs(a, b) whose bags reach the threshold."""
+def similarities(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """pairs(a, b) with the exact weighted Jaccard similarity of their bags."""
     left = bags.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
     right = bags.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-    # lengths bound the similarity from above; pairs that can't reach the threshold don't travel further
-    joined = pairs.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def load(s: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -194,16 +236,13 @@ def _verified(pairs: DataFrame, bags: DataFrame, params: Params) -> DataFrame:
             return h, np.frombuffer(c, np.uint32).astype(np.int64) if c else np.ones(len(h), np.int64)
 
         for batch in batches:
-            sa, ca, sb, cb = (batch.column(k).to_pylist() for k in range(2, 6))
-            good = []
-            for i in range(batch.num_rows):
-                (x, cx), (y, cy) = load(sa[i], ca[i]), load(sb[i], cb[i])
-                good.append(overlap(x, y, cx, cy) >= params.threshold)
-            kept = batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-            if kept.num_rows:
-                yield kept
+            found = []
+            for sa, ca, sb, cb in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                (x, cx), (y, cy) = load(sa, ca), load(sb, cb)
+                found.append(overlap(x, y, cx, cy))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
-    return joined.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -230,53 +269,59 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return moved.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """node -> root for every node that is linked to another one."""
-    rows = sketch(docs, params)
+def classes(rows: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """(sketched rows, node -> root for every node that is linked to another one)."""
+    sketched = materialise(sketch(rows, params), "sketches")
     # equal word sequences give equal rows; a hot copy is reduced before it travels
-    nodes = materialise(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"), F.first("counts").alias("counts")), "nodes")
+    nodes = sketched.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("bands").alias("bands"), F.min("_n").alias("_n"))
+    nodes = materialise(nodes, "nodes")
     members = nodes.select("node", F.posexplode("bands").alias("band", "h"))
-    shared = members.groupBy("band", "h").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").select("band", "h", "least")
-    buckets = materialise(members.join(shared, ["band", "h"]), "buckets")
-    wanted = buckets.select("node").distinct()
-    bags = materialise(nodes.select("node", "shingles", "counts").join(wanted, "node", "left_semi"), "bags")
-    first = buckets.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialise(_verified(first, bags, params), "links")
-    roots = components(links)
-    # bands that still span several classes: everyone outside the largest class meets the members of other classes
-    labelled = buckets.join(roots, "node", "left").select("band", "h", "node", F.coalesce("root", "node").alias("root"))
+    shared = members.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1")
+    members = materialise(members.join(shared, ["band", "h"]), "buckets")
+    # a bucket's hub: the member that meets most others over all its bands, so the middle of a group of near copies
+    meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
+    hubs = members.drop("n").join(meets, "node").groupBy("band", "h").agg(F.max_by("node", F.struct("meets", "node")).alias("hub"))
+    buckets = materialise(members.drop("n").join(hubs, ["band", "h"]), "hubs")
+    bags = materialise(bags_of(rows, nodes.select("node", "_n").join(meets, "node", "left_semi")), "bags")
+    first = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    spokes = materialise(similarities(first, bags), "spokes")
+    roots = components(spokes.filter(F.col("similarity") >= params.threshold))
+    # Buckets that still span several classes: everyone outside the largest class meets the members of other classes,
+    # but for those whose distances to the hub differ by more than a link's length (1 - similarity is a metric).
+    labelled = buckets.join(roots, "node", "left").select("band", "h", "hub", "node", F.coalesce("root", "node").alias("root"))
     sizes = labelled.groupBy("band", "h", "root").agg(F.count("*").alias("n"))
     spread = sizes.groupBy("band", "h").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("k")).filter("k > 1").select("band", "h", "largest")
-    open_ = materialise(labelled.join(spread, ["band", "h"]), "open-buckets")
-    odd = open_.filter("root <> largest").select("band", "h", F.col("node").alias("x"), F.col("root").alias("rx"), "largest")
-    others = open_.select("band", "h", F.col("node").alias("y"), F.col("root").alias("ry"))
-    across = odd.join(others, ["band", "h"]).filter("rx <> ry AND (ry = largest OR x < y)")
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialise(_verified(across, bags, params), "more-links")
+    known = spokes.select(F.col("a").alias("hub"), F.col("b").alias("node"), "similarity")
+    open_ = labelled.join(spread, ["band", "h"]).join(known, ["hub", "node"], "left").withColumn("near", F.coalesce("similarity", F.lit(1.0)))
+    open_ = materialise(open_.select("band", "h", "hub", "node", "root", "largest", "near"), "open-buckets")
+    odd = open_.filter("root <> largest AND node <> hub").select("band", "h", F.col("node").alias("x"), F.col("root").alias("rx"), "largest", F.col("near").alias("nx"))
+    others = open_.filter("node <> hub").select("band", "h", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("near").alias("ny"))
+    on = (odd.band == others.band) & (odd.h == others.h) & (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("largest")) | (F.col("x") < F.col("y")))
+    across = odd.join(others, on & (F.abs(F.col("nx") - F.col("ny")) <= 1 - params.threshold + 1e-9))
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = materialise(similarities(across, bags).filter(F.col("similarity") >= params.threshold), "more-links")
     if more.isEmpty():
-        return roots
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        return sketched, roots
+    return sketched, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b")))
 
 
 def dedupe_classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id and class_id (least id of the class) for every document, and the class's size."""
-    docs = docs.select("doc_id", "text")
-    keyed = _nodes(docs).select("doc_id", "node")
-    roots = classes(docs, params)
-    singles = keyed.filter(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    named = materialise(keyed.filter(F.col("node").isNotNull()).join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "membership")
+    sketched, roots = classes(_numbered(docs), params)
+    singles = sketched.filter(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    named = sketched.filter(F.col("node").isNotNull()).select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    named = materialise(named, "membership")
     ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return named.join(materialise(ids, "class-ids"), "root").select("doc_id", "class_id", "class_size").unionByName(singles)
 
 
 def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """One row of docs per class, the one with the least id (ties: the least text, then any), all columns as they were.
-    Rows are chosen by a small aggregate over ids; of rows that agree in id and text one stays."""
-    packed = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-    roots = classes(docs.select("doc_id", "text"), params)
-    keyed = _nodes(packed)
-    without = keyed.filter(F.col("node").isNull()).select("_row.*")
-    linked = keyed.filter(F.col("node").isNotNull()).withColumn("_n", F.monotonically_increasing_id())
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node", "_n")
-    chosen = linked.select("doc_id", "node", "_n").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("o")).select(F.col("o._n").alias("_n"))
-    return linked.join(materialise(chosen, "kept"), "_n", "left_semi").select("_row.*").unionByName(without)
+    """One row of docs per class, the one with the least id (ties: the first in the scan), all columns as they were;
+    rows without words all stay. Rows are chosen by a small aggregate over ids and row numbers."""
+    sketched, roots = classes(_numbered(docs), params)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_n")
+    chosen = sketched.filter(F.col("node").isNotNull()).select("doc_id", "node", "_n").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("o"))
+    gone = sketched.filter(F.col("node").isNotNull()).select("_n").join(chosen.select(F.col("o._n").alias("_n")), "_n", "left_anti")
+    gone = materialise(gone, "dropped")
+    packed = docs.select(F.struct("*").alias("_row")).withColumn("_n", F.monotonically_increasing_id())
+    return packed.join(broadcast_if_small(gone), "_n", "left_anti").select("_row.*")
