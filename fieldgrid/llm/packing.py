@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldgrid.llm.tokens import ChunkedBpe, default_vocabulary
+from fieldgrid.llm.tokens import ByteBpe, default_vocabulary
 
 LENGTH = 2048
 END = 1
@@ -157,7 +157,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: Cap
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe = ChunkedBpe.of(path)
+        bpe = ByteBpe.of(path)
         packer = _Packer(TaskContext.get().partitionId() << 40, capacity)
         ids: dict[int, np.ndarray] = {}  # ids of documents with pieces that aren't out yet
         names: dict[int, object] = {}

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldgrid.llm.tokens import ChunkedBpe, default_vocabulary
+from fieldgrid.llm.tokens import ByteBpe, default_vocabulary
 
 GROUPS = ["source", "lang", "tokenizer"]
 TOTALS = ["n_docs", "n_tokens"]
@@ -38,7 +38,7 @@ def count_tokens(text: Column, vocabulary: str | None = None) -> Column:
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = ChunkedBpe.of(path)
+        bpe = ByteBpe.of(path)
         for texts in batches:
             yield pd.Series([len(bpe.encode(t)) if t else 0 for t in texts], dtype="int64")
 
