@@ -15,7 +15,7 @@ Classes. Equal word sequences are one node (hot copies collapse in a map-side
 aggregate). Registers are banded; a bucket's members are compared with its hub
 first, the member that meets most others. Buckets that still span several
 classes compare each member outside the largest class with members of the other
-classes, unless their distances to the hub rule a link out. Pairs within a class
+classes, unless exact bounds (distances to the hub, shared mass) rule a link out. Pairs within a class
 add nothing, so no bucket emits all its pairs, and yet every candidate pair of
 different classes is verified or excluded: the classes are exactly the
 connected components of the candidate pairs that are links. Verification is the exact multiset
@@ -245,6 +245,26 @@ def similarities(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def shared_mass(bags: DataFrame) -> DataFrame:
+    """node, total and shared: how much of each bag lies in shingles that another of these bags has too.
+
+    Shingles are counted with map-side sums; those of one bag only are charged to it, so nothing is joined back."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                h = [np.frombuffer(s, np.int64) for s in part.column(1).to_pylist()]
+                n = [np.frombuffer(c, np.uint32).astype(np.int64) if c else np.ones(len(x), np.int64) for x, c in zip(h, part.column(2).to_pylist(), strict=True)]
+                owner = np.repeat(np.arange(len(h)), [len(x) for x in h])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(np.concatenate(h)), pa.array(np.concatenate(n))], names=["node", "shingle", "n"])
+
+    rows = bags.select("node", "shingles", "counts").mapInArrow(explode, "node binary, shingle long, n long")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("bags"), F.min("node").alias("node"), F.sum("n").alias("n")).filter("bags = 1")
+    lost = single.groupBy("node").agg(F.sum("n").alias("lost"))
+    return bags.select("node", "total").join(lost, "node", "left").select("node", "total", (F.col("total") - F.coalesce("lost", F.lit(0))).alias("shared"))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(a, b) -> node, root: the least node of its component, by alternating large and small stars.
     Each round is written to the shared folder; the number of rounds grows with the logarithm of the size."""
@@ -287,17 +307,29 @@ def classes(rows: DataFrame, params: Params = Params()) -> tuple[DataFrame, Data
     spokes = materialise(similarities(first, bags), "spokes")
     roots = components(spokes.filter(F.col("similarity") >= params.threshold))
     # Buckets that still span several classes: everyone outside the largest class meets the members of other classes,
-    # but for those whose distances to the hub differ by more than a link's length (1 - similarity is a metric).
+    # but for pairs that can't be links: their distances to the hub differ by more than a link's length (1 - similarity
+    # is a metric), or one has too little in common with all others to overlap as much as a link must.
     labelled = buckets.join(roots, "node", "left").select("band", "h", "hub", "node", F.coalesce("root", "node").alias("root"))
     sizes = labelled.groupBy("band", "h", "root").agg(F.count("*").alias("n"))
     spread = sizes.groupBy("band", "h").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("k")).filter("k > 1").select("band", "h", "largest")
     known = spokes.select(F.col("a").alias("hub"), F.col("b").alias("node"), "similarity")
     open_ = labelled.join(spread, ["band", "h"]).join(known, ["hub", "node"], "left").withColumn("near", F.coalesce("similarity", F.lit(1.0)))
-    open_ = materialise(open_.select("band", "h", "hub", "node", "root", "largest", "near"), "open-buckets")
-    odd = open_.filter("root <> largest AND node <> hub").select("band", "h", F.col("node").alias("x"), F.col("root").alias("rx"), "largest", F.col("near").alias("nx"))
-    others = open_.filter("node <> hub").select("band", "h", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("near").alias("ny"))
-    on = (odd.band == others.band) & (odd.h == others.h) & (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("largest")) | (F.col("x") < F.col("y")))
-    across = odd.join(others, on & (F.abs(F.col("nx") - F.col("ny")) <= 1 - params.threshold + 1e-9))
+    open_ = materialise(open_.filter("node <> hub").select("band", "h", "hub", "node", "root", "largest", "near"), "open-buckets")
+    involved = open_.select("node").union(open_.select(F.col("hub").alias("node"))).distinct()
+    mass = materialise(shared_mass(bags.join(involved, "node", "left_semi")), "shared-mass")
+    # a link overlaps by t / (1 + t) of both totals, which is at least t of the larger one; what two bags have in common
+    # lies in the hub, or outside it in what each shares with others
+    able = open_.join(mass, "node").filter(F.col("shared") >= params.threshold * F.col("total") - 1e-6)
+    able = able.join(mass.select(F.col("node").alias("hub"), F.col("total").alias("_t")), "hub")
+    able = able.withColumn("inner", F.col("near") / (1 + F.col("near")) * (F.col("total") + F.col("_t"))).withColumn("outer", F.col("shared") - F.col("inner"))
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "near", "total", "inner", "outer")]
+    odd, others = able.filter("root <> largest").select("band", "h", "largest", *side("x")), able.select("band", "h", *side("y"))
+    once = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("largest")) | (F.col("node_x") < F.col("node_y")))
+    within = F.abs(F.col("near_x") - F.col("near_y")) <= 1 - params.threshold + 1e-9
+    most = F.least("inner_x", "inner_y") + F.least("outer_x", "outer_y")
+    enough = most >= (F.col("total_x") + F.col("total_y")) * (params.threshold / (1 + params.threshold)) - 1e-6
+    across = odd.join(others, (odd.band == others.band) & (odd.h == others.h) & once & within & enough)
+    across = across.select(F.col("node_x").alias("x"), F.col("node_y").alias("y"))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = materialise(similarities(across, bags).filter(F.col("similarity") >= params.threshold), "more-links")
     if more.isEmpty():
