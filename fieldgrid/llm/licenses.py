@@ -1,12 +1,14 @@
 """License scan by conditional compression.
 
 A text's candidate blocks are its runs of neighbouring lines with a license cue
-(long lines are cut to the sentences with a cue). Each block is compressed with
-zstandard, once alone and once per template with the template as raw
-dictionary; templates are ranked by the share of bytes the dictionary saves.
-The best few are confirmed by wording: the template's words and the block's are
-aligned, and the words that are missing or put in between decide. A winner is
-confirmed if at most a set share of the template's words differs; ``exact`` means none.
+(long lines are cut to the sentences with a cue). Every template is aligned with
+the block's words, and the words that are missing or put in between decide: a
+wording is confirmed if at most a set share of the template's words differs;
+``exact`` means none. A block may hold any number of wordings; only those that
+match the same words compete, and the closest wins. The confirmed words are
+compressed with zstandard, once alone and once with the template as raw
+dictionary; the share of bytes that the dictionary saves must be positive and is
+reported.
 
 Texts without a cue are told apart by one pattern in the scan and never leave
 the JVM. Nothing is shuffled. Defined cases: null and empty texts have no
@@ -17,8 +19,8 @@ empty results; long texts cost their candidate blocks only.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,7 +46,6 @@ CUE = r"(?i)licen[sc]e|copyright|all rights reserved|redistribution and use|here
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
 MAX_DIFFERENCE = 0.2
-TRIED = 3
 
 
 def blocks_of(text: str) -> list[str]:
@@ -73,39 +74,61 @@ class Scanner:
 
         params = z.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.plain = z.ZstdCompressor(compression_params=params)
-        self.templates = [(name, i, t, words_of(t), z.ZstdCompressor(compression_params=params, dict_data=z.ZstdCompressionDict(t.encode() * (1 + 16 // len(t)), dict_type=z.DICT_TYPE_RAWCONTENT))) for name, ts in templates.items() for i, t in enumerate(ts)]
+        dictionary = lambda t: z.ZstdCompressionDict(t.encode() * (1 + 16 // len(t)), dict_type=z.DICT_TYPE_RAWCONTENT)
+        self.templates = [(name, i, t, words_of(t), z.ZstdCompressor(compression_params=params, dict_data=dictionary(" ".join(words_of(t))))) for name, ts in templates.items() for i, t in enumerate(ts)]
 
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        """(share of bytes that the dictionary saves, template number), best first; ties by number."""
-        raw = block.encode()
-        alone = len(self.plain.compress(raw))
-        return sorted(((1 - len(t[4].compress(raw)) / alone, i) for i, t in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
+    def saving(self, wording: str, template: int) -> float:
+        """Share of the wording's bytes that the template as dictionary saves."""
+        raw = wording.encode()
+        return 1 - len(self.templates[template][4].compress(raw)) / len(self.plain.compress(raw))
 
     @staticmethod
-    def differences(template: list[str], block: list[str]) -> int:
-        """Words of the template that are missing from the block, and foreign words between its first and last match."""
-        same = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
-        if not same:
-            return len(template)
-        kept = sum(m.size for m in same)
-        return max(len(template), same[-1].b + same[-1].size - same[0].b) - kept
+    def alignments(template: list[str], block: list[str]) -> list[tuple[int, frozenset[int]]]:
+        """(differing words, places of the matched words) of the template's confirmed alignments, the best of each first word.
+        Words of the template that are missing and foreign words between its first and last match count, the more of the two."""
+        n, most = len(template), int(MAX_DIFFERENCE * len(template))
+        if sum((Counter(template) & Counter(block)).values()) < n - most:
+            return []
+        out, heads = [], set(template[: most + 1])  # no more words than that may be missing in front
+        for start in (i for i, w in enumerate(block) if w in heads):
+            rows, best = [[0] * (n + 1)], None  # longest common subsequences of block[start:] and the template
+            for size, word in enumerate(block[start : start + n + most], 1):
+                before, row = rows[-1], [0] * (n + 1)
+                for j, t in enumerate(template):
+                    row[j + 1] = before[j] + 1 if t == word else max(before[j + 1], row[j])
+                rows.append(row)
+                if row[n] > before[n] and (cost := max(n, size) - row[n]) <= most and (best is None or cost < best[0]):
+                    best = (cost, size)
+            if best:
+                places, i, j = [], best[1], n
+                while i and j:
+                    if rows[i][j] == rows[i - 1][j]:
+                        i -= 1
+                    elif rows[i][j] == rows[i][j - 1]:
+                        j -= 1
+                    else:
+                        i, j = i - 1, j - 1
+                        places.append(start + i)
+                out.append((best[0], frozenset(places)))
+        return out
 
     def identify(self, block: str) -> list[tuple[str, float, int]]:
-        """(license, saving, differing words) of the confirmed templates among the best ranked, one per license."""
-        words, found = words_of(block), {}
-        for saving, i in self.rank(block)[:TRIED]:
-            name, _, _, template, _ = self.templates[i]
-            n = self.differences(template, words)
-            if saving > 0 and n <= MAX_DIFFERENCE * len(template) and (name not in found or n < found[name][1]):
-                found[name] = (saving, n)
-        if not found:
-            return []
-        least = min(n for _, n in found.values())  # near wordings of one another: the closest wording wins
-        return sorted((name, s, n) for name, (s, n) in found.items() if n == least)
+        """(license, saving, differing words) of every confirmed wording. Among wordings that match the same words
+        of the block the closest wins; equally close ones of several licenses all stay."""
+        words, kept = words_of(block), []
+        found = [(n, -len(places), i, min(places), places) for i, t in enumerate(self.templates) for n, places in self.alignments(t[3], words)]
+        for n, _, i, _, places in sorted(found, key=lambda x: x[:4]):
+            name = self.templates[i][0]
+            if any(places & p and (k == name or m < n) for k, m, _, p in kept):
+                continue
+            saving = self.saving(" ".join(words[min(places) : max(places) + 1]), i)
+            if saving > 0:
+                kept.append((name, n, saving, places))
+        return sorted((name, saving, n) for name, n, saving, _ in kept)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_blocks, licenses (sorted names), n_exact (blocks that match a wording in full), n_differences (words), best_saving."""
+    """doc_id, n_blocks, licenses (sorted names), n_exact (wordings matched in full), n_differences (words), best_saving."""
     out = "n_blocks long, licenses array<string>, n_exact long, n_differences long, best_saving double"
 
     @F.pandas_udf(out)

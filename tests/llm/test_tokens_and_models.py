@@ -123,6 +123,18 @@ def test_every_template_finds_itself():
             assert [n for n, _, d in found if d == 0] == [name], (name, t, found)
 
 
+def test_every_license_of_a_block_is_found():
+    s, short = licenses.Scanner(), [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts if len(t) < 90]
+    for a, x in short:
+        for b, y in short:
+            for between in ("\n", " "):
+                found = s.identify(x + between + y)
+                assert {n for n, _, d in found if d == 0} == {a, b} == {n for n, _, _ in found}, (x, y, found)
+    every = "\n".join(t for ts in licenses.TEMPLATES.values() for t in ts)
+    assert {n for n, _, d in s.identify(every) if d == 0} == set(licenses.TEMPLATES)
+    assert [(n, d) for n, _, d in s.identify("the of Released openly under the MIT License. the under")] == [("MIT", 1)]
+
+
 def test_classifier_learns_and_takes_odd_rows(spark):
     g = random.Random(4)
     words = ["river", "stone", "and", "the", "Window.", "light", "over,"]
