@@ -1,10 +1,10 @@
 """License scan by conditional compression.
 
-A text's candidate blocks are its runs of neighbouring lines with a license cue
-(long lines are cut to the sentences with a cue). Every template is aligned with
-the block's words, and the words that are missing or put in between decide: a
-wording is confirmed if at most a set share of the template's words differs;
-``exact`` means none. A block may hold any number of wordings; only those that
+A text's candidate blocks are its license cues with all words around them that
+the longest wording could take, so wordings wrapped over lines or set in comments
+stay whole. Every template is aligned with the block's words, and the words that
+are missing or put in between decide: a wording is confirmed if at most a set
+share of the template's words differs; ``exact`` means none. A block may hold any number of wordings; only those that
 match the same words compete, and the closest wins. The confirmed words are
 compressed with zstandard, once alone and once with the template as raw
 dictionary; the share of bytes that the dictionary saves must be positive and is
@@ -19,6 +19,7 @@ empty results; long texts cost their candidate blocks only.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,38 +35,44 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "GPL-2.0": ["Distributed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2"],
+    "GPL-2.0": ["Distributed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"],
     "GPL-3.0": ["Licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Proprietary": ["All rights reserved."],
 }
-CUE = r"(?i)licen[sc]e|copyright|all rights reserved|redistribution and use|hereby granted|creative commons|\bSPDX-|waived all"
+#: Between the words of a cue stands anything that is no word: a line may end there, and a comment mark follow.
+CUE = r"(?i)licen[sc]e|copyright|all rights reserved|redistribution and use|hereby granted|creative commons|\bSPDX-|waived all".replace(" ", "[^0-9A-Za-z]+")
 _CUE = re.compile(CUE)
-_WORD = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
+_WORD = re.compile(r"[0-9a-z]+(?:\.[0-9a-z]+)*")
+_PLACE = re.compile(r"[0-9A-Za-z]+(?:\.[0-9A-Za-z]+)*")
 MAX_DIFFERENCE = 0.2
 
 
-def blocks_of(text: str) -> list[str]:
-    """Runs of neighbouring lines with a cue; of a line, the sentences from the first to the last with one."""
-    out, run = [], []
-    for line in text.split("\n"):
-        if _CUE.search(line):
-            sentences = re.split(r"(?<=[.;!])\s+(?=[A-Z])", line)
-            cued = [i for i, s in enumerate(sentences) if _CUE.search(s)]
-            run.append(" ".join(sentences[cued[0] : cued[-1] + 1]) if cued else line)
-        elif run:
-            out.append("\n".join(run))
-            run = []
-    return [*out, "\n".join(run)] if run else out
-
-
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+#: A wording that holds a cue lies within so many words of it on either side.
+REACH = max(len(words_of(t)) + int(MAX_DIFFERENCE * len(words_of(t))) for ts in TEMPLATES.values() for t in ts)
+
+
+def blocks_of(text: str) -> list[str]:
+    """The cues with all words in reach of them, whatever the lines; what overlaps is one block."""
+    cues, spans = [m.span() for m in _CUE.finditer(text)], []
+    words = [m.span() for m in _PLACE.finditer(text)] if cues else []
+    for start, end in cues:
+        first = max(bisect_right(words, start, key=lambda w: w[1]) - REACH, 0)
+        last = min(bisect_left(words, end, key=lambda w: w[0]) + REACH, len(words))
+        if spans and first <= spans[-1][1]:
+            spans[-1][1] = last
+        else:
+            spans.append([first, last])
+    return [text[words[first][0] : words[last - 1][1]] for first, last in spans]
+
+
 class Scanner:
     """The templates' dictionaries, made once per worker."""
 
@@ -83,16 +90,19 @@ class Scanner:
         return 1 - len(self.templates[template][4].compress(raw)) / len(self.plain.compress(raw))
 
     @staticmethod
-    def alignments(template: list[str], block: list[str]) -> list[tuple[int, frozenset[int]]]:
+    def alignments(template: list[str], block: list[str], counts: Counter) -> list[tuple[int, frozenset[int]]]:
         """(differing words, places of the matched words) of the template's confirmed alignments, the best of each first word.
         Words of the template that are missing and foreign words between its first and last match count, the more of the two."""
-        n, most = len(template), int(MAX_DIFFERENCE * len(template))
-        if sum((Counter(template) & Counter(block)).values()) < n - most:
+        n, most, need = len(template), int(MAX_DIFFERENCE * len(template)), Counter(template)
+        if sum(min(k, counts[w]) for w, k in need.items()) < n - most:
             return []
         out, heads = [], set(template[: most + 1])  # no more words than that may be missing in front
         for start in (i for i, w in enumerate(block) if w in heads):
-            rows, best = [[0] * (n + 1)], None  # longest common subsequences of block[start:] and the template
-            for size, word in enumerate(block[start : start + n + most], 1):
+            window = block[start : start + n + most]
+            if sum((need & Counter(window)).values()) < n - most:
+                continue
+            rows, best = [[0] * (n + 1)], None  # longest common subsequences of window and template
+            for size, word in enumerate(window, 1):
                 before, row = rows[-1], [0] * (n + 1)
                 for j, t in enumerate(template):
                     row[j + 1] = before[j] + 1 if t == word else max(before[j + 1], row[j])
@@ -115,16 +125,19 @@ class Scanner:
     def identify(self, block: str) -> list[tuple[str, float, int]]:
         """(license, saving, differing words) of every confirmed wording. Among wordings that match the same words
         of the block the closest wins; equally close ones of several licenses all stay."""
-        words, kept = words_of(block), []
-        found = [(n, -len(places), i, min(places), places) for i, t in enumerate(self.templates) for n, places in self.alignments(t[3], words)]
-        for n, _, i, _, places in sorted(found, key=lambda x: x[:4]):
+        words = words_of(block)
+        counts, kept, owners = Counter(words), [], {}
+        found = [(n, -len(places), i, min(places), places) for i, t in enumerate(self.templates) for n, places in self.alignments(t[3], words, counts)]
+        for n, _, i, start, places in sorted(found, key=lambda x: x[:4]):
             name = self.templates[i][0]
-            if any(places & p and (k == name or m < n) for k, m, _, p in kept):
+            if any(k == name or m < n for p in places for k, m in owners.get(p, ())):
                 continue
-            saving = self.saving(" ".join(words[min(places) : max(places) + 1]), i)
+            saving = self.saving(" ".join(words[start : max(places) + 1]), i)
             if saving > 0:
-                kept.append((name, n, saving, places))
-        return sorted((name, saving, n) for name, n, saving, _ in kept)
+                kept.append((name, saving, n))
+                for p in places:
+                    owners.setdefault(p, []).append((name, n))
+        return sorted(kept)
 
 
 def scan(docs: DataFrame) -> DataFrame:

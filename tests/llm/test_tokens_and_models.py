@@ -1,4 +1,5 @@
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -135,6 +136,22 @@ def test_every_license_of_a_block_is_found():
     assert [(n, d) for n, _, d in s.identify("the of Released openly under the MIT License. the under")] == [("MIT", 1)]
 
 
+def test_wrapped_licenses_are_whole():
+    s = licenses.Scanner()
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            for width in range(20, 81, 3):
+                for mark in ("", "# ", " * ", "// "):
+                    lines = textwrap.wrap("Copyright 2020 Some Body. " + t, width)
+                    text = "\n".join(mark + x for x in ["word " * 200, *lines, "", "int main() {", "}", "word " * 200])
+                    found = [h for b in licenses.blocks_of(text) for h in s.identify(b)]
+                    assert [(n, d) for n, _, d in found] == [(name, 0)], (text, found)
+    mit = "Copyright (c) 2020 X\nAll rights reserved.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
+    assert sorted(n for b in licenses.blocks_of(mit) for n, _, _ in s.identify(b)) == ["MIT", "Proprietary"]
+    far = "All rights reserved.\n" + "word " * 500 + "\nReleased under the MIT License."
+    assert len(licenses.blocks_of(far)) == 2 and licenses.blocks_of("plain words") == []
+
+
 def test_classifier_learns_and_takes_odd_rows(spark):
     g = random.Random(4)
     words = ["river", "stone", "and", "the", "Window.", "light", "over,"]
