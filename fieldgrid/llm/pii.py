@@ -7,6 +7,10 @@ several spellings is one entity. Every distinct entity of the whole corpus gets
 one surrogate, drawn from SHA-256 of a key, the type, the canonical form and an
 attempt number:
 
+Secrets are values of any length: those named by what stands before them (with
+a digit, from 6 characters), hexadecimal keys from 32 digits, and AKIA, gh?_,
+sk- (from 20 characters; hyphens inside only with a digit) and xox?- tokens.
+
 * letters become letters of the same script and case, digits become digits,
   punctuation stays, so the format is kept; IPv4 parts stay in 1..223/0..255;
   a card that passes the Luhn test gets a surrogate that passes it too;
@@ -48,10 +52,14 @@ GIVEN = {
 _title = "|".join(sorted(TITLES["m"] + TITLES["f"], key=len, reverse=True))
 #: What stands before a secret that only its name gives away; it stays. Fixed values.
 NAMED = r"(?i:password|passwd|pwd|secret|api[_-]?key)[ \t]{0,2}[=:][ \t]{0,2}[\"']?"
+#: Secrets have a least length and no greatest; they end at the last letter or digit before a character outside their class.
+#: Possessive quantifiers keep long ones linear.
+VALUE = r"[A-Za-z0-9](?=[A-Za-z0-9_+/.~-]{4}[_+/.~-]*+[A-Za-z0-9])(?:[_+/.~-]*+[A-Za-z0-9])++"
+SK = r"sk-(?:(?=[A-Za-z0-9]{20})|(?=[A-Za-z_-]*+[0-9])(?=[A-Za-z0-9_-]{19}[_-]*+[A-Za-z0-9]))[A-Za-z0-9](?:[_-]*+[A-Za-z0-9])++"
 #: type -> pattern; the order decides which one a mention belongs to.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "secret": r"(?:" + NAMED + r"(?=[A-Za-z_+/.~-]{0,64}[0-9])[A-Za-z0-9](?:[A-Za-z0-9_+/.~-]{4,126}[A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?=[0-9]*+[A-Fa-f])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abprs]-[A-Za-z0-9-]{10,72})(?![A-Za-z0-9]))",
+    "secret": r"(?:" + NAMED + r"(?=[A-Za-z_+/.~-]*+[0-9])" + VALUE + r"|(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?=[0-9]*+[A-Fa-f])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)|gh[pousr]_[A-Za-z0-9]{36,}+|" + SK + r"|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9]))",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",

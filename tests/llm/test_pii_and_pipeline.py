@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -50,6 +52,24 @@ def test_surrogates(spark):
     assert got[6][0].text == got[6][1].text and (got[1][0].n_email, got[1][0].n_phone) == (2, 2)
 
 
+def test_secrets_of_any_length_go_whole(spark):
+    g = random.Random(5)
+    draw = lambda letters, n: "".join(g.choice(letters) for _ in range(n - 1)) + "7"
+    alnum, rows = string.ascii_letters + string.digits, []
+    for n in (6, 64, 65, 128, 129, 200, 1000, 100_000):
+        rows += [("password=", draw(alnum, n)), ("api_key: '", draw(alnum + "_+/.~-", n - 1).join("a7")), ("secret=", "a" * (n - 1) + "7")]
+        if n > 60:
+            rows += [("key ", "a" + draw("0123456789abcdef", n)), ("key ", "A" + draw("0123456789ABCDEF", n)), ("", "sk-" + draw(alnum, n)), ("", "sk-proj-" + draw(alnum + "_-", n)), ("", "xoxb-" + draw(alnum + "-", n)), ("", "ghp_" + draw(alnum, n))]
+    docs = [(i, f"see {front}{value}' or {front}{value}. End") for i, (front, value) in enumerate(rows)]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame([*docs, (-1, "sk-learn-is-a-long-hyphenated-word password=none...")], "doc_id long, text string")).collect()}
+    assert got[-1].n_entities == 0
+    for i, (front, value) in enumerate(rows):
+        new = re.fullmatch(f"see {re.escape(front)}(.*)' or {re.escape(front)}(.*)\\. End", got[i].text)
+        assert got[i].n_secret == got[i].n_entities == 2 and new[1] == new[2] and len(new[1]) == len(value), (front, value[:50])
+        kept = 8 if value.startswith(("sk-", "xox", "gh")) else 0
+        assert all(value[k : k + 16] not in new[1] for k in range(kept, len(value) - 15) if len(set(value[k : k + 16])) > 1), (front, value[:50])
+
+
 def test_collisions_are_resolved(spark):
     entities = spark.range(3000).select(F.lit("ip").alias("kind"), F.concat(F.lit("10.0."), (F.col("id") / 250).cast("int").cast("string"), F.lit("."), (F.col("id") % 250).cast("string")).alias("canon"))
     tiny = spark.range(60).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 2, "0").alias("canon"))
