@@ -25,7 +25,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}"
-    return token_rollup.load_corpus(spark, table(spark, sf_dir, "documents"), path)
+    return token_rollup.load_corpus(spark, table(spark, sf_dir, "documents"), path, keep_empty=True)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

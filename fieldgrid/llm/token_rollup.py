@@ -111,18 +111,22 @@ class TokenRollup:
                 self._fs.delete(self._path(folder), True)
 
 
-def load_corpus(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k", vocabulary: str | None = None) -> DataFrame:
+def load_corpus(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k", vocabulary: str | None = None, keep_empty: bool = False) -> DataFrame:
     """A corpus's life in a rollup: estimates are inserted at once, exact counts revise them, documents without
-    tokens are deleted, and every batch is sent twice, as after a crash. The totals are exact all the same."""
+    tokens are deleted, and every batch is sent twice, as after a crash. The totals are exact all the same.
+    With ``keep_empty`` documents without tokens stay in n_docs: what is deleted is a second insert of them."""
     rollup = TokenRollup(spark, path)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     estimate = F.ceil(F.octet_length(text) / F.lit(3.0))
     counted = docs.select("source", "lang", estimate.alias("estimate"), count_tokens(text, vocabulary).alias("exact"))
+    empty = docs.filter(text == "").select("source", "lang")
     batches = {
         "estimates": lambda: inserts(docs.select("source", "lang", estimate.alias("estimate")), F.col("estimate"), tokenizer),
         "exact": lambda: revisions(counted, F.col("estimate"), F.col("exact"), tokenizer),
-        "empty": lambda: deletes(docs.filter(text == "").select("source", "lang"), F.lit(0), tokenizer),
+        "empty": lambda: deletes(empty, F.lit(0), tokenizer),
     }
+    if keep_empty:
+        batches = {"empty-again": lambda: inserts(empty, F.lit(0), tokenizer)} | batches
     for batch_id, changes in batches.items():
         for _ in range(2):
             rollup.commit(batch_id, changes())

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldgrid.llm import licenses, packing, rule_ensemble, token_rollup
+from fieldgrid.llm import licenses, packing, queries, rule_ensemble, token_rollup
 from fieldgrid.llm.tokens import ByteBpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -97,6 +97,13 @@ def test_corpus_totals_equal_direct_counts(spark, tmp_path):
     assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in got} == {("s", "en"): (2, n(docs[0][1]) + n("Hello")), (None, "fr"): (1, n("é"))}
 
 
+def test_query_counts_documents_without_tokens(spark, tmp_path):
+    docs = [(1, "Hello", "s", "en"), (2, None, "s", "en"), (3, "", "s", "en"), (4, "", "bare", "en"), (5, None, None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op4_token_counts(spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in got} == {("s", "en"): (3, 1), ("bare", "en"): (1, 0), (None, None): (1, 0)}
+
+
 def test_licenses_are_told_apart(spark):
     rows = [
         (1, "Some text.\nLicensed under the Apache License, Version 2.0.\nMore."),
