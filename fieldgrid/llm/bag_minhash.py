@@ -13,18 +13,26 @@ rare case that a register stays empty. Signatures are therefore cheap and exact.
 
 Classes. Equal word sequences are one node (hot copies collapse in a map-side
 aggregate). Registers are banded; a bucket's members are compared with its hub
-first, the member that meets most others. Buckets that still span several
-classes compare each member outside the largest class with members of the other
-classes, unless exact bounds (distances to the hub, shared mass) rule a link out. Pairs within a class
-add nothing, so no bucket emits all its pairs, and yet every candidate pair of
-different classes is verified or excluded: the classes are exactly the
-connected components of the candidate pairs that are links. Verification is the exact multiset
-overlap of the shingle bags.
+first, the member that meets most others. Where a bucket still spans several
+classes, its largest class stands for it: the shingles that at least half of
+that class's bags hold are the class's consensus. Members of other classes are
+compared with a few of the largest class's most central bags, and settle there
+as a rule. For the rest links are found without making all pairs: two bags
+overlap within the consensus by no more than the lesser of their parts in it, so
+a link either has two parts in it that suffice, or shares shingles outside it.
+The first kind is joined within buckets, the second on those shingles, rarest
+first and as many as a link can't do without (a prefix filter). Both bounds are
+exact, so the classes are exactly the connected components of the candidate
+pairs that are links. Verification is the exact multiset overlap of the bags.
+
+Rows are told apart by file and row index, or, where the input is no plain scan
+of files, by those of a written copy; so a second reading meets the same rows.
 
 Defined cases: texts without words are singletons; texts of fewer than five
 words are one shingle; a null id takes part and the class id is the least id in
 the class (null if it has none); repeated rows are one class; empty tables give
-empty results; texts are hashed whole, whatever their length.
+empty results; texts are hashed whole, whatever their length; other columns,
+whatever their names, pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -36,12 +44,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldgrid.llm.common import broadcast_if_small, materialise
 
 SHINGLE = 5
+#: Bags of a large class that all members of other classes in its buckets meet.
+CENTRES = 4
 #: What str.split() takes for white space beyond the six ASCII characters.
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -160,9 +171,28 @@ def overlap(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> flo
     return both / (int(ca.sum()) + int(cb.sum()) - both)
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether docs is a scan of files with deterministic projections and filters only."""
+    node = docs._jdf.queryExecution().optimizedPlan()
+    if not node.deterministic() or "_metadata" in docs.columns:
+        return False
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    try:
+        return node.nodeName() == "LogicalRelation" and bool(docs.select("_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with the row's number in the scan, which is the same whenever the same files are read."""
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("_n", F.monotonically_increasing_id())
+    """_row (all columns), doc_id, text and _n, a row's file (hashed) and place in it, the same at every reading."""
+    if not _is_scan(docs):
+        docs = materialise(docs.select(F.struct("*").alias("_row")), "rows")
+        row, at = F.col("_row"), lambda c: F.col(f"_row.{c}")
+    else:
+        row, at = F.struct("*"), F.col
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    return docs.select(row.alias("_row"), at("doc_id").cast("long").alias("doc_id"), at("text").cast("string").alias("text"), place.alias("_n"))
 
 
 def _chunks(part: pa.RecordBatch, most: int = 400_000) -> Iterator[list[int]]:
@@ -201,7 +231,7 @@ def sketch(rows: DataFrame, params: Params) -> DataFrame:
                         bands[i] = row
                 yield pa.RecordBatch.from_arrays([part.column("_n"), part.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["_n", "doc_id", "node", "bands"])
 
-    return rows.select("_n", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_n long, doc_id long, node binary, bands array<long>")
+    return rows.select("_n", "doc_id", "text").mapInArrow(run, "_n struct<f:long,i:long>, doc_id long, node binary, bands array<long>")
 
 
 def _plain(text: str | None) -> str | None:
@@ -210,7 +240,7 @@ def _plain(text: str | None) -> str | None:
 
 
 def bags_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, shingles and counts (bytes of sorted hashes) for wanted(node, _n): one row of the scan for each node."""
+    """node, shingles and counts (bytes of sorted hashes) for wanted(node, _n): one row for each node."""
     texts = rows.select("_n", "text").join(broadcast_if_small(wanted), "_n").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,33 +275,56 @@ def similarities(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def shared_mass(bags: DataFrame) -> DataFrame:
-    """node, total and shared: how much of each bag lies in shingles that another of these bags has too.
-
-    Shingles are counted with map-side sums; those of one bag only are charged to it, so nothing is joined back."""
+def shingle_rows(bags: DataFrame) -> DataFrame:
+    """node, root, shingle and n (its multiplicity) for bags(node, root, shingles, counts)."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                h = [np.frombuffer(s, np.int64) for s in part.column(1).to_pylist()]
-                n = [np.frombuffer(c, np.uint32).astype(np.int64) if c else np.ones(len(x), np.int64) for x, c in zip(h, part.column(2).to_pylist(), strict=True)]
-                owner = np.repeat(np.arange(len(h)), [len(x) for x in h])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(np.concatenate(h)), pa.array(np.concatenate(n))], names=["node", "shingle", "n"])
+                h = [np.frombuffer(s, np.int64) for s in part.column(2).to_pylist()]
+                n = [np.frombuffer(c, np.uint32).astype(np.int64) if c else np.ones(len(x), np.int64) for x, c in zip(h, part.column(3).to_pylist(), strict=True)]
+                owner = pa.array(np.repeat(np.arange(len(h)), [len(x) for x in h]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), pa.array(np.concatenate(h)), pa.array(np.concatenate(n))], names=["node", "root", "shingle", "n"])
+
+    return bags.select("node", "root", "shingles", "counts").mapInArrow(explode, "node binary, root binary, shingle long, n long")
+
+
+def _parts(sides: DataFrame, threshold: float) -> DataFrame:
+    """sides(large, node, root, total, least, shared, consensus) with ``inner``, how much of the bag lies in the consensus,
+    ``outer``, how much of it lies in shared shingles outside, and ``prefix``: the rarest of these, without those that a
+    link may do without. ``shared`` holds (bags, shingle, n), rarest first; ``least`` is the group's least total."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for total, least, shared, consensus in zip(*(batch.column(k).to_pylist() for k in ("total", "least", "shared", "consensus")), strict=True):
+                shingle, n = np.array([x["shingle"] for x in shared], np.int64), np.array([x["n"] for x in shared], np.int64)
+                inside = np.isin(shingle, np.array(consensus, np.int64))
+                inner, rest, own = int(n[inside].sum()), shingle[~inside], n[~inside]
+                need = max(_needed(total, least, threshold) - inner, 1)
+                after = own[::-1].cumsum()[::-1]  # what stands at or behind each place
+                rows.append((inner, int(own.sum()), rest[after >= need].tolist()))
+            inner, outer, prefix = zip(*rows, strict=True) if rows else ((), (), ())
+            kept = [batch.column(k) for k in ("large", "node", "root", "total")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(inner, pa.int64()), pa.array(outer, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["large", "node", "root", "total", "inner", "outer", "prefix"])
+
+    return sides.mapInArrow(run, "large binary, node binary, root binary, total long, inner long, outer long, prefix array<long>")
 
-    rows = bags.select("node", "shingles", "counts").mapInArrow(explode, "node binary, shingle long, n long")
-    single = rows.groupBy("shingle").agg(F.count("*").alias("bags"), F.min("node").alias("node"), F.sum("n").alias("n")).filter("bags = 1")
-    lost = single.groupBy("node").agg(F.sum("n").alias("lost"))
-    return bags.select("node", "total").join(lost, "node", "left").select("node", "total", (F.col("total") - F.coalesce("lost", F.lit(0))).alias("shared"))
 
+def _needed(a, b, threshold: float):
+    """The least overlap of a link between bags of totals a and b >= ``b``: t / (1 + t) of both, and t of the larger one."""
+    both = (a + b) * (threshold / (1 + threshold)) - 1e-6
+    return F.greatest(both, a * F.lit(threshold) - 1e-6) if isinstance(a, Column) else max(both, a * threshold - 1e-6)
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> node, root: the least node of its component, by alternating large and small stars.
     Each round is written to the shared folder; the number of rounds grows with the logarithm of the size."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = materialise(both.filter("a <> b").distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         # large star: larger neighbours move to the least neighbour
         least = now.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = now.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -284,8 +337,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen:
             break
         mark = seen
-    else:
-        raise RuntimeError("components did not settle")
     return moved.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -306,54 +357,86 @@ def classes(rows: DataFrame, params: Params = Params()) -> tuple[DataFrame, Data
     first = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     spokes = materialise(similarities(first, bags), "spokes")
     roots = components(spokes.filter(F.col("similarity") >= params.threshold))
-    # Buckets that still span several classes: everyone outside the largest class meets the members of other classes,
-    # but for pairs that can't be links: their distances to the hub differ by more than a link's length (1 - similarity
-    # is a metric), or one has too little in common with all others to overlap as much as a link must.
-    labelled = buckets.join(roots, "node", "left").select("band", "h", "hub", "node", F.coalesce("root", "node").alias("root"))
-    sizes = labelled.groupBy("band", "h", "root").agg(F.count("*").alias("n"))
-    spread = sizes.groupBy("band", "h").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("k")).filter("k > 1").select("band", "h", "largest")
-    known = spokes.select(F.col("a").alias("hub"), F.col("b").alias("node"), "similarity")
-    open_ = labelled.join(spread, ["band", "h"]).join(known, ["hub", "node"], "left").withColumn("near", F.coalesce("similarity", F.lit(1.0)))
-    open_ = materialise(open_.filter("node <> hub").select("band", "h", "hub", "node", "root", "largest", "near"), "open-buckets")
-    involved = open_.select("node").union(open_.select(F.col("hub").alias("node"))).distinct()
-    mass = materialise(shared_mass(bags.join(involved, "node", "left_semi")), "shared-mass")
-    # a link overlaps by t / (1 + t) of both totals, which is at least t of the larger one; what two bags have in common
-    # lies in the hub, or outside it in what each shares with others
-    able = open_.join(mass, "node").filter(F.col("shared") >= params.threshold * F.col("total") - 1e-6)
-    able = able.join(mass.select(F.col("node").alias("hub"), F.col("total").alias("_t")), "hub")
-    able = able.withColumn("inner", F.col("near") / (1 + F.col("near")) * (F.col("total") + F.col("_t"))).withColumn("outer", F.col("shared") - F.col("inner"))
-    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "near", "total", "inner", "outer")]
-    odd, others = able.filter("root <> largest").select("band", "h", "largest", *side("x")), able.select("band", "h", *side("y"))
-    once = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("largest")) | (F.col("node_x") < F.col("node_y")))
-    within = F.abs(F.col("near_x") - F.col("near_y")) <= 1 - params.threshold + 1e-9
-    most = F.least("inner_x", "inner_y") + F.least("outer_x", "outer_y")
-    enough = most >= (F.col("total_x") + F.col("total_y")) * (params.threshold / (1 + params.threshold)) - 1e-6
-    across = odd.join(others, (odd.band == others.band) & (odd.h == others.h) & once & within & enough)
-    across = across.select(F.col("node_x").alias("x"), F.col("node_y").alias("y"))
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = materialise(similarities(across, bags).filter(F.col("similarity") >= params.threshold), "more-links")
-    if more.isEmpty():
+    links = _links_across(buckets, roots, bags, params)
+    if links is None:
         return sketched, roots
-    return sketched, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b")))
+    return sketched, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+
+def _rooted(df: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
+    """df with the root of its column ``node``; a node without links is its own root."""
+    found = roots.select(F.col("node").alias(node), F.col("root").alias("_found"))
+    return df.join(found, node, "left").withColumn(name, F.coalesce("_found", node)).drop("_found")
+
+
+def _links_across(buckets: DataFrame, roots: DataFrame, bags: DataFrame, params: Params) -> DataFrame | None:
+    """All links (a, b) between different classes that meet in a bucket, but for some that others imply; None if there are none."""
+    t = params.threshold
+    labelled = _rooted(buckets, roots, "node", "root")
+    sizes = labelled.groupBy("band", "h", "root").agg(F.count("*").alias("n"))
+    spread = sizes.groupBy("band", "h").agg(F.max_by("root", F.struct("n", "root")).alias("large"), F.count("*").alias("k")).filter("k > 1").select("band", "h", "large")
+    open_ = materialise(labelled.filter("node <> hub").join(spread, ["band", "h"]).select("band", "h", "node", "root", "large"), "open-buckets")
+    if open_.isEmpty():
+        return None
+    involved = bags.join(open_.select("node", "root").distinct(), "node")
+    rows = shingle_rows(involved)
+    counts = materialise(rows.groupBy("root", "shingle").agg(F.count("*").alias("k")), "shingle-counts")
+    seen = counts.groupBy("shingle").agg(F.sum("k").alias("bags")).filter("bags > 1")
+    shared = rows.join(seen, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("bags", "shingle", "n"))).alias("shared"), F.sum("n").alias("mass"))
+    # what a bag has in common with others is at least t of it, or it has no link
+    able = materialise(shared.join(involved.select("node", "total"), "node").filter(F.col("mass") >= t * F.col("total") - 1e-6).drop("mass"), "shared-bags")
+    members = open_.select("node", "root").distinct().groupBy("root").agg(F.count("*").alias("m"))
+    sides = open_.select("large", "node", "root").distinct().join(able, "node")
+    wanted = sides.groupBy("large").agg(F.min("total").alias("least"))
+    consensus = counts.join(members, "root").filter("2 * k >= m").select(F.col("root").alias("large"), "shingle").join(wanted, "large", "left_semi")
+    consensus = materialise(consensus.groupBy("large").agg(F.collect_list("shingle").alias("consensus")), "consensus")
+    # a large class may have no member in its open buckets but the hubs, which have met everyone there; then it has no consensus
+    sides = materialise(_parts(sides.join(wanted, "large").join(consensus, "large", "left").withColumn("consensus", F.coalesce("consensus", F.array().cast("array<long>"))), t), "sides")
+    # the most central bag of each of CENTRES parts of the large class meets all members of other classes
+    own = sides.filter("root = large").join(consensus.select("large", F.size("consensus").alias("size")), "large")
+    middle = F.struct((F.col("inner") / (F.col("size") + F.col("total") - F.col("inner"))).alias("s"), "node")
+    centres = own.groupBy("large", F.pmod(F.xxhash64("node"), F.lit(CENTRES)).alias("part")).agg(F.max_by("node", middle).alias("centre"))
+    odd = sides.filter("root <> large").select("large", "node")
+    first = materialise(similarities(odd.join(centres, "large").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), bags).filter(F.col("similarity") >= t).select("a", "b"), "central-links")
+    central = not first.isEmpty()
+    if central:
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(first))
+    sides = _rooted(_rooted(sides.drop("root"), roots, "node", "root"), roots, "large", "top")
+    sides = materialise(sides.withColumn("odd", F.col("root") != F.col("top")), "settled-sides")
+    names = ("node", "root", "total", "inner", "outer")
+    side = lambda k, *more: [F.col(c).alias(f"{c}_{k}") for c in names + more]
+    once = (F.col("root_x") != F.col("root_y")) & (~F.col("odd_y") | (F.col("node_x") < F.col("node_y")))
+    need = _needed(F.greatest("total_x", "total_y"), F.least("total_x", "total_y"), t)
+    inside = F.least("inner_x", "inner_y")
+    near = materialise(open_.select("band", "h", "large", "node").join(sides.filter(F.col("inner") >= t * F.col("total") - 1e-6).drop("prefix"), ["large", "node"]), "near-centre")
+    x, y = near.filter("odd").select("band", "h", *side("x")), near.select("band", "h", *side("y", "odd"))
+    direct = x.join(y, (x.band == y.band) & (x.h == y.h) & once & (inside >= need)).select("node_x", "node_y")
+    spread_ = materialise(sides.select("large", *names, "odd", F.explode("prefix").alias("shingle")), "prefixes")
+    x, y = spread_.filter("odd").select("large", "shingle", *side("x")), spread_.select("large", "shingle", *side("y", "odd"))
+    outside = x.join(y, (x.large == y.large) & (x.shingle == y.shingle) & once & (inside + F.least("outer_x", "outer_y") >= need)).select("node_x", "node_y")
+    pairs = direct.union(outside).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    more = materialise(similarities(pairs, bags).filter(F.col("similarity") >= t).select("a", "b"), "more-links")
+    found = first.union(more) if central else more
+    return None if found.isEmpty() else found
 
 
 def dedupe_classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id and class_id (least id of the class) for every document, and the class's size."""
     sketched, roots = classes(_numbered(docs), params)
     singles = sketched.filter(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    named = sketched.filter(F.col("node").isNotNull()).select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    named = materialise(named, "membership")
+    named = materialise(_rooted(sketched.filter(F.col("node").isNotNull()).select("doc_id", "node"), roots, "node", "root").select("doc_id", "root"), "membership")
     ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return named.join(materialise(ids, "class-ids"), "root").select("doc_id", "class_id", "class_size").unionByName(singles)
 
 
 def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """One row of docs per class, the one with the least id (ties: the first in the scan), all columns as they were;
+    """One row of docs per class, the one with the least id (ties: any one), all columns as they were;
     rows without words all stay. Rows are chosen by a small aggregate over ids and row numbers."""
-    sketched, roots = classes(_numbered(docs), params)
+    rows = _numbered(docs)
+    sketched, roots = classes(rows, params)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_n")
-    chosen = sketched.filter(F.col("node").isNotNull()).select("doc_id", "node", "_n").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("o"))
-    gone = sketched.filter(F.col("node").isNotNull()).select("_n").join(chosen.select(F.col("o._n").alias("_n")), "_n", "left_anti")
+    rooted = _rooted(sketched.filter(F.col("node").isNotNull()).select("doc_id", "node", "_n"), roots, "node", "root")
+    chosen = rooted.groupBy("root").agg(F.min(order).alias("o"))
+    gone = rooted.select("_n").join(chosen.select(F.col("o._n").alias("_n")), "_n", "left_anti")
     gone = materialise(gone, "dropped")
-    packed = docs.select(F.struct("*").alias("_row")).withColumn("_n", F.monotonically_increasing_id())
-    return packed.join(broadcast_if_small(gone), "_n", "left_anti").select("_row.*")
+    return rows.select("_row", "_n").join(broadcast_if_small(gone), "_n", "left_anti").select("_row.*")

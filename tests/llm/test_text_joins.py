@@ -156,12 +156,61 @@ def test_repeats_equal_brute_force_with_and_without_bands(spark):
     want = sorted(_brute_repeats(rows, 40), key=key)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for params in (suffix_dedup.Params(40, 8, 4, 3), suffix_dedup.Params(40, 8, 1000, 8)):
-        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.cut_repeats(df, params).collect()]
+        found = suffix_dedup.cut_repeats(df, params).collect()
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found]
         assert sorted(got, key=key) == want
+        assert all(r.text == bytes(r.bytes).decode("utf-8", "ignore") for r in found)
+
+
+def test_repeats_of_no_documents_and_of_extra_columns(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert suffix_dedup.cut_repeats(none).count() == 0
+    rows = spark.createDataFrame([(1, "ab" * 300, b"x", 1), (2, None, None, 2)], "doc_id long, text string, bytes binary, key long")
+    assert {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.cut_repeats(rows).collect()} == {1: (600, 600), 2: (0, 0)}
 
 
 def test_anchors_cover_every_window_once_even_across_segments():
     data = np.frombuffer(random.Random(6).randbytes(3000), np.uint8)
     rows = np.concatenate(suffix_kernel.anchors(data, 100, 16, segment=700))
-    covered = sorted(s + k for _, _, s, size, _ in rows for k in range(size - 100 + 1))
+    covered = sorted(s + k for _, s, size, _ in rows for k in range(size - 100 + 1))
     assert covered == list(range(2901))
+
+
+def test_one_row_of_each_class_stays_whatever_the_input_is(spark, tmp_path):
+    rows = [(d, t, f"x{k}") for k, (d, t) in enumerate(_near_copies(random.Random(8)))]
+    want = len(set(_links([r[:2] for r in rows])))
+    made = spark.createDataFrame(rows, "doc_id long, text string, _n string")
+    made.repartition(3).write.parquet(str(tmp_path / "docs"))
+    plain = spark.read.parquet(str(tmp_path / "docs"))
+    pages = spark.createDataFrame([(f"x{k}", k) for k in range(len(rows))], "_n string, _row long")
+    for docs in (plain, plain.repartition(5), plain.join(pages, "_n"), plain.withColumn("_metadata", bag_minhash.F.lit(1))):
+        kept = bag_minhash.keep_one(docs)
+        assert kept.columns == docs.columns
+        found = [r.asDict()["_n"] for r in kept.collect()]
+        assert len(found) == len(set(found)) == want
+        roots = _links([r[:2] for r in rows])
+        assert len({roots[int(x[1:])] for x in found}) == want
+
+
+def test_a_hot_group_without_its_base_is_linked_whole(spark):
+    """Copies of one text, none of it unchanged: some are no link of any hub, and some of few others only."""
+    g = random.Random(12)
+    base, rows = [f"w{g.randint(0, 5000)}" for _ in range(120)], []
+    for k in range(240):
+        w = list(base)
+        for _ in range(g.randint(1, 5)):
+            w[g.randrange(len(w))] = f"e{g.randint(0, 12)}"
+        rows.append((k, " ".join(w)))
+    rows += [(500, None), (501, "one two"), (502, " ".join(base[:100]))]
+    roots = _links(rows)
+    got = {r.doc_id: r.class_id for r in bag_minhash.dedupe_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[roots[i]] = min(d, least.get(roots[i], d))
+    assert got == {d: least[roots[i]] for i, (d, _) in enumerate(rows)}
+    assert len(set(got.values())) > 3
+
+
+def test_empty_documents_have_no_classes(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert bag_minhash.dedupe_classes(none).count() == 0 and bag_minhash.keep_one(none).count() == 0
