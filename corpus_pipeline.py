@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldgrid.llm import bag_minhash, decontamination, packing, pii, quality_rules
 from fieldgrid.llm.common import materialise, table
+from fieldgrid.llm.queries import surrogate_key
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities give way to surrogates; no document goes, and the other columns stay."""
-    return pii.scrub(docs)
+    return pii.scrub(docs, surrogate_key(spark))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

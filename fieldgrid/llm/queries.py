@@ -10,8 +10,13 @@ from fieldgrid.llm import bag_minhash, decontamination, licenses, packing, pii,
 from fieldgrid.llm.common import shared_dir, table
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret key of PII surrogates, from the session's settings; the stand-in is for synthetic tables only."""
+    return spark.conf.get("spark.fieldgrid.pii.key", "key of synthetic tables")
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +42,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents")).drop("bytes")
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
