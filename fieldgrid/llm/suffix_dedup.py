@@ -4,9 +4,10 @@ A byte goes if it lies in a string of ``length`` bytes that also starts anywhere
 else in the corpus. Every such window is filed under an anchor: the leftmost
 least hash of the grams in it, which depends on the window alone. Neighbouring
 windows with the same anchor form a run, so the corpus is described by about
-one row per (length / 2) bytes: (g, the gram; c, the run's bytes).
+one row per (length / 2) bytes: (g, the gram's hash; c, the digest of the run's bytes).
 
-1. Runs are counted by (g, c) and by g. A gram that occurs once holds no repeats;
+1. Runs are counted by (g, c) and by g; c is a 128-bit BLAKE2b digest, so runs
+   with one c are taken for equal without a look at their bytes. A gram that occurs once holds no repeats;
    runs whose bytes occur twice are repeated in full; what is left are runs that
    share a gram with different runs.
 2. Those runs' bytes (one copy of each) are fetched by joining their places with
@@ -42,8 +43,8 @@ from pyspark.sql import functions as F
 from fieldgrid.llm import suffix_kernel as kernel
 from fieldgrid.llm.common import materialise
 
-RUNS = "key binary, g long, c long, start long, size long, mark long"
-TEXTS = "g long, c long, low long, high long, mark long, bytes binary"
+RUNS = "key binary, g long, c binary, start long, size long, mark long"
+TEXTS = "g long, c binary, low long, high long, mark long, bytes binary"
 
 
 @dataclass(frozen=True)
@@ -70,14 +71,16 @@ def runs(texts: DataFrame, params: Params) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                keys, rows = [], []
+                keys, digests, rows = [], [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    for found in kernel.anchors(np.frombuffer(text.as_buffer(), np.uint8), params.length, params.gram):
+                    raw = memoryview(text.as_buffer())
+                    for found in kernel.anchors(np.frombuffer(raw, np.uint8), params.length, params.gram):
                         rows.append(found)
                         keys += [key] * len(found)
+                        digests += [hashlib.blake2b(raw[a : a + n], digest_size=16).digest() for _, a, n, _ in found.tolist()]
                 if rows:
-                    table = np.concatenate(rows)
-                    yield _batch([pa.array(keys, pa.binary()), *(pa.array(table[:, k]) for k in range(5))], ["key", "g", "c", "start", "size", "mark"])
+                    g, start, size, mark = np.concatenate(rows).T
+                    yield _batch([pa.array(keys, pa.binary()), pa.array(g), pa.array(digests, pa.binary()), pa.array(start), pa.array(size), pa.array(mark)], ["key", "g", "c", "start", "size", "mark"])
 
     long_enough = texts.filter(F.octet_length("bytes") >= params.length).select("key", "bytes")
     return long_enough.mapInArrow(cut, RUNS)
@@ -103,7 +106,7 @@ def _fetch(texts: DataFrame, places: DataFrame) -> DataFrame:
                     rows += [(r["g"], r["c"], r["low"], r["high"], r["mark"], text[r["start"] : r["start"] + r["size"]]) for r in listed]
                 if rows:
                     g, c, low, high, mark, cuts = zip(*rows, strict=True)
-                    yield _batch([pa.array(x, pa.int64()) for x in (g, c, low, high, mark)] + [pa.array(cuts, pa.binary())], ["g", "c", "low", "high", "mark", "bytes"])
+                    yield _batch([pa.array(g, pa.int64()), pa.array(c, pa.binary()), *(pa.array(x, pa.int64()) for x in (low, high, mark)), pa.array(cuts, pa.binary())], ["g", "c", "low", "high", "mark", "bytes"])
 
     return texts.join(wanted, "key").select("bytes", "runs").mapInArrow(cut, TEXTS)
 
@@ -112,7 +115,7 @@ def _compare(texts: DataFrame, params: Params) -> DataFrame:
     """g, c, first, last: the repeated part of each run, for groups of bounded size."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[tuple[int, int], tuple[int, bytes]] = {}
+        rows: dict[tuple[int, bytes], tuple[int, bytes]] = {}
         for batch in batches:
             g, c, mark, cuts = (batch.column(k).to_pylist() for k in range(4))
             rows.update(zip(zip(g, c, strict=True), zip(mark, cuts, strict=True), strict=True))  # copies of a text bring a run again
@@ -126,10 +129,10 @@ def _compare(texts: DataFrame, params: Params) -> DataFrame:
             first, last = kernel.repeated_runs(np.array([x[0] for x in part]), [rows[x][1] for x in part], np.array([rows[x][0] for x in part]), params.length)
             hit = np.flatnonzero(first >= 0)
             if len(hit):
-                yield _batch([pa.array([part[i][0] for i in hit]), pa.array([part[i][1] for i in hit]), pa.array(first[hit]), pa.array(last[hit])], ["g", "c", "first", "last"])
+                yield _batch([pa.array([part[i][0] for i in hit]), pa.array([part[i][1] for i in hit], pa.binary()), pa.array(first[hit]), pa.array(last[hit])], ["g", "c", "first", "last"])
             at = end
 
-    return texts.select("g", "c", "mark", "bytes").repartition("g").mapInArrow(sort, "g long, c long, first long, last long")
+    return texts.select("g", "c", "mark", "bytes").repartition("g").mapInArrow(sort, "g long, c binary, first long, last long")
 
 
 def _bands(texts: DataFrame, params: Params) -> DataFrame:
@@ -150,13 +153,13 @@ def _bands(texts: DataFrame, params: Params) -> DataFrame:
                         continue
                     core, span = cut[mark - lo : mark - hi + params.length], cut[mark - own_hi : mark - own_lo + params.length]
                     name = hashlib.blake2b(core, digest_size=8, salt=f"{lo},{hi}".encode(), key=f"{g}".encode()).digest()
-                    content = hashlib.blake2b(span, digest_size=8, salt=f"{own_lo},{own_hi}".encode()).digest()
-                    rows.append((g, c, mark - own_hi, *(int.from_bytes(x, "little", signed=True) for x in (name, content)), lo, hi, own_hi, span))
+                    content = hashlib.blake2b(span, digest_size=16, salt=f"{own_lo},{own_hi}".encode()).digest()
+                    rows.append((g, c, mark - own_hi, int.from_bytes(name, "little", signed=True), content, lo, hi, own_hi, span))
             if rows:
-                cols = list(zip(*rows, strict=True))
-                yield _batch([pa.array(x, pa.int64()) for x in cols[:8]] + [pa.array(cols[8], pa.binary())], ["g0", "c0", "at", "g", "c", "low", "high", "mark", "bytes"])
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield _batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["g0", "c0", "at", "g", "c", "low", "high", "mark", "bytes"])
 
-    return texts.select("g", "c", "low", "high", "mark", "bytes").mapInArrow(split, "g0 long, c0 long, at long, " + TEXTS)
+    return texts.select("g", "c", "low", "high", "mark", "bytes").mapInArrow(split, "g0 long, c0 binary, at long, " + TEXTS)
 
 
 def _solve(texts: DataFrame, params: Params) -> DataFrame:
@@ -199,10 +202,14 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def cut_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """doc_id, bytes (what is left), n_bytes, n_removed, n_spans and kept_sha256 for every document."""
+def cut_repeats(docs: DataFrame, params: Params = Params(), raw: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and what is left of every document: ``text`` without the parts of
+    characters that a border cuts, or with ``raw`` all remaining ``bytes``."""
     texts = _keyed(docs)
     spans = materialise(repeated_intervals(texts, params), "spans")
+    name, kind = ("bytes", "binary") if raw else ("text", "string")
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, {name} {kind}"
+    types = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), (name, pa.binary() if raw else pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,10 +222,7 @@ def cut_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
                         kept.append(text[end:a])
                         end = b
                     left = b"".join([*kept, text[end:]])
-                    rows.append((name, left, len(text), len(text) - len(left), len(gone), hashlib.sha256(left).hexdigest()))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield _batch([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "bytes", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    rows.append((name, len(text), len(text) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left if raw else left.decode("utf-8", "ignore")))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
 
-    joined = texts.join(spans, "key", "left").select("doc_id", "bytes", "spans")
-    return joined.mapInArrow(cut, "doc_id long, bytes binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.join(spans, "key", "left").select("doc_id", "bytes", "spans").mapInArrow(cut, schema)

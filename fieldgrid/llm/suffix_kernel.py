@@ -48,10 +48,10 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int, gram: int, segment: int = 1 << 20) -> list[np.ndarray]:
-    """Rows (g, c, start, size, mark): every window of ``length`` bytes belongs to the leftmost least gram in it.
+    """Rows (g, start, size, mark): every window of ``length`` bytes belongs to the leftmost least gram in it.
 
     A row holds a run of windows with the same gram: bytes [start, start + size), the gram at start + mark. g names
-    the gram, c the run's bytes and mark. Equal windows have equal grams at equal places, whatever surrounds them."""
+    the gram. Equal windows have equal grams at equal places, whatever surrounds them."""
     out = []
     width = length - gram + 1
     for at in range(0, len(data) - length + 1, segment):
@@ -71,8 +71,7 @@ def anchors(data: np.ndarray, length: int, gram: int, segment: int = 1 << 20) ->
         end = np.r_[begin[1:], len(place)]  # window starts begin..end-1
         size = end - begin + length - 1
         mark = place[begin] - begin
-        content = scramble(PrefixHash(piece, BASES[1])(begin, size) + np.uint64(0x51) * mark.astype(np.uint64) + (size.astype(np.uint64) << np.uint64(40)))
-        out.append(np.stack([h[place[begin]].view(np.int64), content.view(np.int64), begin + at, size, mark], axis=1))
+        out.append(np.stack([h[place[begin]].view(np.int64), begin + at, size, mark], axis=1))
     return out
 
 

@@ -159,7 +159,9 @@ def test_repeats_equal_brute_force_with_and_without_bands(spark):
         found = suffix_dedup.cut_repeats(df, params).collect()
         got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found]
         assert sorted(got, key=key) == want
-        assert all(r.text == bytes(r.bytes).decode("utf-8", "ignore") for r in found)
+        left = {r.kept_sha256: bytes(r.bytes) for r in suffix_dedup.cut_repeats(df, params, raw=True).collect()}
+        assert all(hashlib.sha256(b).hexdigest() == k for k, b in left.items())
+        assert all(r.text == left[r.kept_sha256].decode("utf-8", "ignore") for r in found)
 
 
 def test_repeats_of_no_documents_and_of_extra_columns(spark):
