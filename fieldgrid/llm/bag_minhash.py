@@ -276,18 +276,19 @@ def similarities(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 
 
 def shingle_rows(bags: DataFrame) -> DataFrame:
-    """node, root, shingle and n (its multiplicity) for bags(node, root, shingles, counts)."""
+    """node, root, m, shingle and n (its multiplicity) for bags(node, root, m, shingles, counts)."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                h = [np.frombuffer(s, np.int64) for s in part.column(2).to_pylist()]
-                n = [np.frombuffer(c, np.uint32).astype(np.int64) if c else np.ones(len(x), np.int64) for x, c in zip(h, part.column(3).to_pylist(), strict=True)]
+                h = [np.frombuffer(s, np.int64) for s in part.column(3).to_pylist()]
+                n = [np.frombuffer(c, np.uint32).astype(np.int64) if c else np.ones(len(x), np.int64) for x, c in zip(h, part.column(4).to_pylist(), strict=True)]
                 owner = pa.array(np.repeat(np.arange(len(h)), [len(x) for x in h]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), pa.array(np.concatenate(h)), pa.array(np.concatenate(n))], names=["node", "root", "shingle", "n"])
+                own = [part.column(k).take(owner) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(h)), pa.array(np.concatenate(n))], names=["node", "root", "m", "shingle", "n"])
 
-    return bags.select("node", "root", "shingles", "counts").mapInArrow(explode, "node binary, root binary, shingle long, n long")
+    return bags.select("node", "root", "m", "shingles", "counts").mapInArrow(explode, "node binary, root binary, m long, shingle long, n long")
 
 
 def _parts(sides: DataFrame, threshold: float) -> DataFrame:
@@ -378,17 +379,18 @@ def _links_across(buckets: DataFrame, roots: DataFrame, bags: DataFrame, params:
     open_ = materialise(labelled.filter("node <> hub").join(spread, ["band", "h"]).select("band", "h", "node", "root", "large"), "open-buckets")
     if open_.isEmpty():
         return None
-    involved = bags.join(open_.select("node", "root").distinct(), "node")
+    members = open_.select("node", "root").distinct()
+    members = members.join(members.groupBy("root").agg(F.count("*").alias("m")), "root")
+    involved = bags.join(members, "node")
     rows = shingle_rows(involved)
-    counts = materialise(rows.groupBy("root", "shingle").agg(F.count("*").alias("k")), "shingle-counts")
+    counts = materialise(rows.groupBy("root", "shingle").agg(F.count("*").alias("k"), F.max("m").alias("m")), "shingle-counts")
     seen = counts.groupBy("shingle").agg(F.sum("k").alias("bags")).filter("bags > 1")
     shared = rows.join(seen, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("bags", "shingle", "n"))).alias("shared"), F.sum("n").alias("mass"))
     # what a bag has in common with others is at least t of it, or it has no link
     able = materialise(shared.join(involved.select("node", "total"), "node").filter(F.col("mass") >= t * F.col("total") - 1e-6).drop("mass"), "shared-bags")
-    members = open_.select("node", "root").distinct().groupBy("root").agg(F.count("*").alias("m"))
     sides = open_.select("large", "node", "root").distinct().join(able, "node")
     wanted = sides.groupBy("large").agg(F.min("total").alias("least"))
-    consensus = counts.join(members, "root").filter("2 * k >= m").select(F.col("root").alias("large"), "shingle").join(wanted, "large", "left_semi")
+    consensus = counts.filter("2 * k >= m").select(F.col("root").alias("large"), "shingle").join(wanted, "large", "left_semi")
     consensus = materialise(consensus.groupBy("large").agg(F.collect_list("shingle").alias("consensus")), "consensus")
     # a large class may have no member in its open buckets but the hubs, which have met everyone there; then it has no consensus
     sides = materialise(_parts(sides.join(wanted, "large").join(consensus, "large", "left").withColumn("consensus", F.coalesce("consensus", F.array().cast("array<long>"))), t), "sides")
