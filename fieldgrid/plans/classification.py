@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from fieldgrid.functions.bands import add_indices, mask_common
 from fieldgrid.operators import focal, metrics, model, mosaic, spatial, vector
-from fieldgrid.plans.config import ProjectConfig
 from fieldgrid.plans.grid import Grid, require_projected
-from fieldgrid.sources import geotiff, safe, sinks, vectors
+from fieldgrid.plans.settings import Imagery, Products, Run, Samples
+from fieldgrid.sources import geotiff, safe, sinks, store, vectors
 
 
 @dataclass
@@ -22,24 +22,29 @@ class Stack:
     names: list[str]
 
 
-def reference_grid(spark: SparkSession, cfg: ProjectConfig, grids: dict[str, Grid], first: str) -> tuple[Grid, DataFrame | None]:
+def _needed(spark: SparkSession, uri: str) -> str:
+    if not store.exists(spark, uri):
+        raise FileNotFoundError(uri)
+    return uri
+
+
+def reference_grid(spark: SparkSession, imagery: Imagery, grids: dict[str, Grid], first: str) -> tuple[Grid, DataFrame | None]:
     """The run's grid and its area of interest: system and resolution of the first file, extent of the area or of all files."""
-    srid = require_projected(safe.find_srid(grids[first].srid, f"{cfg.paths.imagery_path}/{first}"))
+    srid = require_projected(safe.find_srid(spark, grids[first].srid, imagery.uri, first))
     if other := {g.srid for g in grids.values()} - {srid, None}:
         raise mosaic.SceneError(f"scenes in several reference systems: {sorted(other | {srid})}")
     boxes, area = [g.bounds() for g in grids.values()], None
     extent = (min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes))
-    if cfg.paths.aoi_path is not None:
-        if not cfg.paths.aoi_path.exists():
-            raise FileNotFoundError(cfg.paths.aoi_path)
-        area = vectors.reproject_layer(vectors.read_layer(spark, str(cfg.paths.aoi_path)), cfg.paths.vector_srid or srid, srid)
+    if imagery.area is not None:
+        uri = _needed(spark, imagery.area)
+        area = vectors.reproject_layer(vectors.read_layer(spark, uri), vectors.layer_srid(spark, uri), srid)
         extent = vectors.bounds(area)
         if extent is None:
             raise vectors.VectorError("the area of interest is empty")
         for path, b in zip(grids, boxes, strict=True):
             if min(b[2], extent[2]) <= max(b[0], extent[0]) or min(b[3], extent[3]) <= max(b[1], extent[1]):
                 raise mosaic.SceneError(f"{path} lies outside the area of interest")
-    return Grid.covering(extent, cfg.raster.target_resolution or grids[first].res, srid, cfg.raster.float_nodata), area
+    return Grid.covering(extent, imagery.metres or grids[first].res, srid, imagery.nodata), area
 
 
 def to_grid(pixels: DataFrame, path: str, grids: dict[str, Grid], target: Grid, method: str, value: str, keys: tuple[str, ...]) -> DataFrame:
@@ -53,27 +58,27 @@ def to_grid(pixels: DataFrame, path: str, grids: dict[str, Grid], target: Grid,
     return out
 
 
-def prepare_stack(spark: SparkSession, cfg: ProjectConfig) -> Stack:
+def prepare_stack(spark: SparkSession, imagery: Imagery) -> Stack:
     """Discover, resample, mask, mosaic, clip and derive."""
-    r, root = cfg.raster, str(cfg.paths.imagery_path).rstrip("/")
+    root, need = imagery.uri.rstrip("/"), list(imagery.bands)
     files = safe.list_files(spark, root)
-    catalog = mosaic.discover(files, list(r.required_bands), list(r.optional_bands), r.target_resolution)
+    catalog = mosaic.discover(files, need, list(imagery.more_bands), imagery.metres)
     rows = sorted(catalog.collect(), key=lambda x: (x.scene_ord, x.band))  # one row per scene and band
     have = {x.band for x in rows}
-    raw = list(r.required_bands) + [b for b in r.optional_bands if b in have]
+    raw = need + [b for b in imagery.more_bands if b in have]
     heads = {p.rpartition(root + "/")[2]: g for p, (g, _) in geotiff.read_grids(spark, root).items()}
     first = next(x.path for x in rows if x.band == raw[0])
-    target, area = reference_grid(spark, cfg, {x.path: heads[x.path] for x in rows}, first)
+    target, area = reference_grid(spark, imagery, {x.path: heads[x.path] for x in rows}, first)
     values = geotiff.read_pixels(spark, root).select(F.substring_index("path", root + "/", -1).alias("path"), "prow", "pcol", F.col("value").cast("double").alias("value"))
     keys = ("scene_id", "scene_ord", "band")
-    out = to_grid(values.join(F.broadcast(catalog), "path"), "path", {x.path: heads[x.path] for x in rows}, target, r.reflectance_resampling, "value", keys)
-    if r.use_cloud_masks:
-        found = mosaic.find_masks(mosaic.scene_files(files, auxiliary=True), r.cloud_mask_regex, r.require_cloud_mask).filter("mask_path IS NOT NULL").persist()
+    out = to_grid(values.join(F.broadcast(catalog), "path"), "path", {x.path: heads[x.path] for x in rows}, target, imagery.resampling, "value", keys)
+    if masks := imagery.masks:
+        found = mosaic.find_masks(mosaic.scene_files(files, auxiliary=True), masks.pattern, masks.needed).filter("mask_path IS NOT NULL").persist()
         where = {m.mask_path: heads[m.mask_path] for m in found.collect()}
         if where:
-            masks = values.withColumnRenamed("path", "mask_path").join(F.broadcast(found), "mask_path")
-            masks = to_grid(masks, "mask_path", where, target, r.mask_resampling, "value", ("scene_id",))
-            out = mosaic.apply_masks(out, masks.select("scene_id", "prow", "pcol", F.col("value").cast("int").alias("mask")), r.cloud_mask_mode, r.cloud_invalid_values)
+            read = values.withColumnRenamed("path", "mask_path").join(F.broadcast(found), "mask_path")
+            read = to_grid(read, "mask_path", where, target, masks.resampling, "value", ("scene_id",))
+            out = mosaic.apply_masks(out, read.select("scene_id", "prow", "pcol", F.col("value").cast("int").alias("mask")), masks.mode, masks.hidden)
     pixels = mosaic.stack(out.withColumn("value", F.col("value").cast("float")), raw)
     if area is not None:
         pixels = vector.inside_area(pixels, area.select("feature_id", "rings"), target)
@@ -81,68 +86,82 @@ def prepare_stack(spark: SparkSession, cfg: ProjectConfig) -> Stack:
     return Stack(pixels, target, [c for c in pixels.columns if c not in ("prow", "pcol")])
 
 
-def training_samples(spark: SparkSession, stack: Stack, layer: DataFrame, cfg: ProjectConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+def training_samples(spark: SparkSession, stack: Stack, layer: DataFrame, wanted: Samples) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(samples with sample_id and label, classes, one-row report) from a vector layer."""
-    t = cfg.training
-    keys = [t.label_column, *t.class_name_columns]
-    flat = layer.withColumns({k: F.col("attributes").getItem(k) for k in keys})
-    vector.check_layer(flat, t.label_column)
-    have = [c for c in t.class_name_columns if not flat.filter(F.col(c).isNotNull()).isEmpty()]
-    coded = vector.coerce_labels(flat, t.label_column)
+    flat = layer.withColumns({k: F.col("attributes").getItem(k) for k in (wanted.label, *wanted.names)})
+    vector.check_layer(flat, wanted.label)
+    have = [c for c in wanted.names if not flat.filter(F.col(c).isNotNull()).isEmpty()]
+    coded = vector.coerce_labels(flat, wanted.label)
     classes = vector.class_names(coded, have)
     points = vector.explode_multipoints(coded.filter(F.col("geom_type").isin("Point", "MultiPoint")).select("feature_id", "points"))
     polygons = coded.filter(F.col("geom_type").isin("Polygon", "MultiPolygon")).select("feature_id", "rings")
-    taken = vector.extract_training(points, polygons, stack.pixels, stack.grid, stack.names, t.max_pixels_per_geometry, t.random_state)
+    taken = vector.extract_training(points, polygons, stack.pixels, stack.grid, stack.names, wanted.per_polygon, wanted.seed)
     report = vector.extraction_report(layer.select("feature_id", "geom_type", "is_empty"), taken)
-    named = taken.join(F.broadcast(coded.select("feature_id", F.col("code").alias("label"))), "feature_id")
+    named = taken.join(coded.select("feature_id", F.col("code").alias("label")), "feature_id")
     order = F.xxhash64("feature_id", "x", "y")
     return named.withColumn("sample_id", order), classes, report
 
 
-def run(spark: SparkSession, cfg: ProjectConfig) -> dict:
-    """The nine steps. Returns the metadata, which is also written to the outputs folder."""
-    began, out = time.time(), cfg.paths.ensure_output_dirs()
-    if not cfg.paths.training_path.exists():
-        raise FileNotFoundError(cfg.paths.training_path)
-    stack = prepare_stack(spark, cfg)
-    path = str(out / "prepared" / cfg.raster.prepared_stack_name)
-    geotiff.write_tiles(stack.pixels, path)
-    stack.pixels = spark.read.parquet(path).drop("tile_row", "tile_col")
-    v = cfg.validation
-    layer = vectors.reproject_layer(vectors.read_layer(spark, str(cfg.paths.training_path)), cfg.paths.vector_srid or stack.grid.srid, stack.grid.srid)
-    samples, classes, report = training_samples(spark, stack, layer, cfg)
-    split = spatial.split_holdout(spatial.add_blocks(samples, v.block_size), v.holdout_fraction, v.random_state, v.spatial_gap_distance)
-    split.write.mode("overwrite").parquet(str(out / "prepared" / "samples.parquet"))
-    split = spark.read.parquet(str(out / "prepared" / "samples.parquet"))
+def _kept(df: DataFrame, uri: str) -> DataFrame:
+    """df after it was written as tiles."""
+    geotiff.write_tiles(df, uri)
+    return df.sparkSession.read.parquet(uri).drop("tile_row", "tile_col")
+
+
+def write_rasters(pixels: DataFrame, stack: Stack, labels: list[int], smooth: DataFrame | None, products: Products) -> None:
+    """One GeoTIFF per product: stack, classes, confidence and its complement, entropy, class scores, filtered classes."""
+    at = lambda name: products.at(f"rasters/{name}.tif")
+    whole = {"dtype": "i4", "nodata": products.class_nodata}
+    geotiff.write_raster(stack.pixels, products.at("prepared/feature_stack.tif"), stack.grid, stack.names)
+    geotiff.write_raster(pixels, at("landcover_raw"), stack.grid, ["class"], **whole)
+    for name, column in (("model_confidence", "confidence"), ("uncertainty_proxy_1_minus_confidence", "uncertainty"), ("entropy_uncertainty_proxy", "entropy")):
+        geotiff.write_raster(pixels, at(name), stack.grid, [column])
+    if products.class_scores:
+        each = {f"class_{k}_score": F.get("probabilities", F.lit(i)) for i, k in enumerate(labels)}
+        geotiff.write_raster(pixels.select("prow", "pcol", *[c.alias(n) for n, c in each.items()]), at("class_probability_scores"), stack.grid, list(each))
+    if smooth is not None:
+        geotiff.write_raster(smooth, at("landcover_filtered"), stack.grid, ["class"], **whole)
+
+
+def run(spark: SparkSession, plan: Run) -> dict:
+    """The nine steps. Returns the metadata, which is also written below the products' folder."""
+    began, to, blocks = time.time(), plan.products, plan.blocks
+    source = _needed(spark, plan.samples.uri)
+    stack = prepare_stack(spark, plan.imagery)
+    stack.pixels = _kept(stack.pixels, to.at("prepared/feature_stack.parquet"))
+    layer = vectors.reproject_layer(vectors.read_layer(spark, source), plan.samples.srid or vectors.layer_srid(spark, source), stack.grid.srid)
+    samples, classes, report = training_samples(spark, stack, layer, plan.samples)
+    split = spatial.split_holdout(spatial.add_blocks(samples, blocks.metres), blocks.held_out, blocks.seed, blocks.gap)
+    split.write.mode("overwrite").parquet(to.at("prepared/samples.parquet"))
+    split = spark.read.parquet(to.at("prepared/samples.parquet"))
     spatial.check_split(split)
     development, test = split.filter("split = 'development'"), split.filter("split = 'test'")
     spatial.check_development_support(classes, development)
-    folded = spatial.add_folds(development, v.requested_cv_splits, v.random_state, v.minimum_class_blocks_for_cv).persist()
-    chosen = model.select_model(folded, stack.names, cfg.modeling)
+    folded = spatial.add_folds(development, blocks.folds, blocks.seed, blocks.least_per_class).persist()
+    chosen = model.select_model(folded, stack.names, plan.search)
     folded.unpersist()
     names = {r.label: r.class_name for r in classes.collect()}
     labels = sorted(names)
     raw_scores = model.predicted(chosen.model, test).select("label", "prediction")
-    pixels = model.classify_pixels(chosen.model, stack.pixels, stack.names)
-    geotiff.write_tiles(pixels, str(out / "rasters" / "predictions.parquet"))
-    pixels = spark.read.parquet(str(out / "rasters" / "predictions.parquet")).drop("tile_row", "tile_col")
-    if cfg.inference.write_class_probability_scores:
-        geotiff.write_tiles(model.probability_bands(pixels.filter("probabilities IS NOT NULL"), chosen.model.labels), str(out / "rasters" / "class_probability_scores.parquet"))
+    pixels = _kept(model.classify_pixels(chosen.model, stack.pixels, stack.names), to.at("rasters/predictions.parquet"))
+    if to.class_scores:
+        geotiff.write_tiles(model.probability_bands(pixels.filter("probabilities IS NOT NULL"), chosen.model.labels), to.at("rasters/class_probability_scores.parquet"))
     results = {"raw": metrics.overall(raw_scores, labels).first().asDict()}
-    sinks.save_per_class(metrics.named(metrics.per_class(raw_scores, labels), classes), str(out / "metrics" / "per_class_raw.csv"))
-    sinks.save_confusion_figure(metrics.normalized(metrics.confusion(raw_scores, labels)), out / "figures" / "confusion_raw.png")
-    if cfg.inference.apply_majority_filter:
-        smooth = focal.majority_filter(pixels, stack.grid, cfg.inference.majority_filter_size, "class")
-        geotiff.write_tiles(smooth, str(out / "rasters" / "filtered.parquet"))
-        found = focal.lookup(test, spark.read.parquet(str(out / "rasters" / "filtered.parquet")), stack.grid, "class")
-        kept = found.filter("found IS NOT NULL").select("label", F.col("found").alias("prediction"))
-        results["filtered"] = metrics.overall(kept, labels).first().asDict()
+    sinks.save_per_class(metrics.named(metrics.per_class(raw_scores, labels), classes), to.at("metrics/per_class_raw.csv"))
+    sinks.save_confusion_figure(metrics.normalized(metrics.confusion(raw_scores, labels)), to.at("figures/confusion_raw.png"))
+    smooth = None
+    if to.window:
+        smooth = _kept(focal.majority_filter(pixels, stack.grid, to.window, "class"), to.at("rasters/filtered.parquet"))
+        found = focal.lookup(test, smooth, stack.grid, "class")
+        scored = found.filter("found IS NOT NULL").select("label", F.col("found").alias("prediction"))
+        results["filtered"] = metrics.overall(scored, labels).first().asDict()
         results["holdout_on_nodata"] = found.filter("found IS NULL").count()
+    if to.geotiff:
+        write_rasters(pixels, stack, chosen.model.labels, smooth, to)
     results["missing_in_holdout"] = sorted(r.label for r in spatial.missing_classes(classes, test).collect())
-    sinks.legend_json(names, out / "rasters" / "legend.json")
-    sinks.palette_qml(names, out / "rasters" / "classes.qml")
-    if isinstance(chosen.model, model.ForestModel):
-        chosen.model.save(str(out / "models" / "selected"))
+    sinks.legend_json(spark, names, to.at("rasters/legend.json"))
+    sinks.palette_qml(spark, names, to.at("rasters/classes.qml"))
+    chosen.model.save(to.at("models/selected"))
     meta = {"model": chosen.name, "experiment": chosen.experiment, "parameters": chosen.parameters, "features": chosen.features, "extraction": report.first().asDict(), "cross_validation": chosen.results, "holdout": results, "environment": sinks.environment(), "runtime_seconds": time.time() - began}
-    sinks.save_json(meta, out / "metrics" / "run.json")
+    sinks.save_json(spark, meta, to.at("metrics/run.json"))
     return meta

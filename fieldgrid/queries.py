@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldgrid.functions import bands, scores
 from fieldgrid.operators import focal, metrics, model, mosaic, spatial, vector
 from fieldgrid.plans import fixtures as fx
-from fieldgrid.plans.config import ModelingConfig
+from fieldgrid.plans.settings import Search
 from fieldgrid.sources import sinks
 
 REQ = fx.REQUIRED
@@ -371,7 +371,7 @@ def index_stack_schema(spark, d):
 # ---- models --------------------------------------------------------------------------------------
 
 #: Few trials and trees: the queries show the operators, the defaults of the configuration are larger.
-SMALL = {"rf_space": {"n_estimators": [4, 8], "max_depth": [3, 5]}, "svm_space": {"C": [1.0, 10.0], "gamma": ["scale"]}, "randomized_search_iterations": 2, "selector_trees": 5}
+SMALL = {"forests": {"n_estimators": [4, 8], "max_depth": [3, 5]}, "machines": {"C": [1.0, 10.0], "gamma": ["scale"]}, "trials": 2, "selector_trees": 5}
 
 
 def _model_samples(spark, d):
@@ -388,7 +388,7 @@ def _model_samples(spark, d):
 def feature_experiments(spark, d):
     """Scores of the three feature experiments and which one wins."""
     samples, names = _model_samples(spark, d)
-    best, found = model.feature_experiments(samples.persist(), names, ModelingConfig(**SMALL), {"n_estimators": 5, "max_depth": 4})
+    best, found = model.feature_experiments(samples.persist(), names, Search(**SMALL), {"n_estimators": 5, "max_depth": 4})
     rows = [(e, m, r[m]["mean"], r[m]["std"], e == best) for e, r in found.items() for m in model.METRICS]
     return spark.createDataFrame(rows, "experiment string, metric string, mean double, std double, chosen boolean")
 
@@ -397,7 +397,7 @@ def feature_experiments(spark, d):
 def model_comparison(spark, d):
     """Baseline, forest and SVM under the same folds, and the choice."""
     samples, names = _model_samples(spark, d)
-    cfg = ModelingConfig(**SMALL, run_feature_experiments=False)
+    cfg = Search(**SMALL, selection=False)
     picked = model.select_model(samples.persist(), names, cfg)
     rows = [(k, m, r[m]["mean"], r[m]["std"], k == picked.name) for k, r in picked.results.items() if k != "experiments" for m in model.METRICS]
     return spark.createDataFrame(rows, "model string, metric string, mean double, std double, chosen boolean")
@@ -407,5 +407,5 @@ def model_comparison(spark, d):
 def rf_predict_map(spark, d):
     """Every pixel's class, confidence, uncertainty and entropy under a fitted forest."""
     samples, names = _model_samples(spark, d)
-    fitted = model.fit_forest(samples, names, "bands_plus_indices", {"n_estimators": 8, "max_depth": 4}, ModelingConfig(**SMALL))
+    fitted = model.fit_forest(samples, names, "bands_plus_indices", {"n_estimators": 8, "max_depth": 4}, Search(**SMALL))
     return model.classify_pixels(fitted, _six(spark, d), names)

@@ -1,9 +1,13 @@
-"""GeoTIFF without native libraries: a reader and a writer for a plain subset of the format.
+"""GeoTIFF without native libraries: a reader and a writer for the usual forms of the format.
 
-Read: strips or tiles, no or deflate compression with or without the horizontal
-predictor, integers of 8 to 32 bits and floats. Files come through Spark's
-binaryFile source, so any store works; each file is decoded in the executors,
-block by block. JPEG 2000 isn't decoded.
+Read: classic and BigTIFF, strips or tiles, no, deflate, LZW or PackBits
+compression, without predictor or with the horizontal or the floating-point one,
+integers of 8 to 32 bits and floats. Files come through Spark's binaryFile
+source, so any store works; each file is decoded in the executors, block by
+block. JPEG 2000 isn't decoded.
+
+Written: tiled, deflated files. ``write_raster`` compresses the tiles in the
+executors; the driver only strings them together, one partition at a time.
 """
 
 from __future__ import annotations
@@ -11,13 +15,16 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldgrid.plans.grid import Grid
+from fieldgrid.sources import store
 
 #: TIFF and GeoTIFF tag numbers. Fixed values.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, STRIP_ROWS, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -71,29 +78,87 @@ class Header:
 
 def read_header(raw: bytes) -> Header:
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if not order or struct.unpack(order + "H", raw[2:4])[0] != 42:
+    version = struct.unpack(order + "H", raw[2:4])[0] if order else None
+    if version not in (42, 43):
         raise RasterError("no TIFF header")
-    at = struct.unpack(order + "I", raw[4:8])[0]
+    word, step = ("I", 4) if version == 42 else ("Q", 8)  # offsets and counts of BigTIFF have eight bytes
+    at = struct.unpack_from(order + word, raw, step)[0]
+    n = struct.unpack_from(order + ("H" if version == 42 else "Q"), raw, at)[0]
+    first, size_of = at + (2 if version == 42 else 8), 4 + 2 * step
     tags = {}
-    for k in range(struct.unpack(order + "H", raw[at : at + 2])[0]):
-        tag, kind, count = struct.unpack(order + "HHI", raw[at + 2 + 12 * k : at + 10 + 12 * k])
+    for entry in range(first, first + n * size_of, size_of):
+        tag, kind, count = struct.unpack_from(order + "HH" + word, raw, entry)
         if kind not in TYPES:
             continue
         code = TYPES[kind]
         size = struct.calcsize("=" + code) * count
-        place = at + 10 + 12 * k
-        if size > 4:
-            place = struct.unpack(order + "I", raw[place : place + 4])[0]
+        place = entry + 4 + step
+        if size > step:
+            place = struct.unpack_from(order + word, raw, place)[0]
         data = raw[place : place + size]
         tags[tag] = (data,) if code == "s" else struct.unpack(f"{order}{count * len(code)}{code[0]}", data)
     return Header(tags, order)
 
 
+def unpack_lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, high bits first, 256 clears the table and 257 ends."""
+    out, table, width, held, bits, before = bytearray(), [], 9, 0, 0, None
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, before = [bytes([k]) for k in range(256)] + [b"", b""], 9, None
+            continue
+        if not table or code > len(table) or (code == len(table) and before is None):
+            raise RasterError("broken LZW data")
+        new = table[code] if code < len(table) else before + before[:1]
+        out += new
+        if before is not None:
+            table.append(before + new[:1])
+        before = new
+        width = min(max((len(table) + 1).bit_length(), 9), 12)
+    return bytes(out)
+
+
+def unpack_bits(data: bytes) -> bytes:
+    """PackBits: n >= 0 precedes n + 1 bytes, -n a byte that stands n + 1 times; -128 says nothing."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n, at = data[at], at + 1
+        if n < 128:
+            out += data[at : at + n + 1]
+            at += n + 1
+        elif n > 128:
+            out += data[at : at + 1] * (257 - n)
+            at += 1
+    return bytes(out)
+
+
+#: Compression number -> how a block is unpacked. Fixed values.
+UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
+
+
+def _unpredicted(data: bytes, h: Header, width: int, per: int) -> np.ndarray:
+    """A block's values (rows, width, per) with the predictor undone."""
+    predictor, size = h.one(PREDICTOR, 1), h.dtype.itemsize
+    if predictor == 3:  # bytes of a row, most significant ones of all values first, as differences
+        rows = np.frombuffer(data, np.uint8).reshape(-1, size * width, per)
+        values = np.cumsum(rows, axis=1, dtype=np.uint8).reshape(-1, size, width * per)
+        return np.ascontiguousarray(values.transpose(0, 2, 1)).view(h.dtype.newbyteorder(">")).reshape(-1, width, per)
+    block = np.frombuffer(data, h.dtype).reshape(-1, width, per)
+    return np.cumsum(block, axis=1, dtype=block.dtype.newbyteorder("=")) if predictor == 2 else block
+
+
 def read_blocks(raw: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
     """(row, column, values (rows, columns, bands)) of each stored block."""
     h = read_header(raw)
     width, height, bands = h.one(WIDTH), h.one(HEIGHT), h.one(SAMPLES, 1)
-    if h.one(COMPRESSION, 1) not in (1, 8, 32946) or h.one(PREDICTOR, 1) not in (1, 2):
+    if h.one(COMPRESSION, 1) not in UNPACK or h.one(PREDICTOR, 1) not in (1, 2, 3):
         raise RasterError(f"compression {h.one(COMPRESSION)} with predictor {h.one(PREDICTOR, 1)} isn't supported")
     tiled = TILES in h.tags
     bw, bh = (h.one(TILE_W), h.one(TILE_H)) if tiled else (width, min(h.one(STRIP_ROWS, height), height))
@@ -107,24 +172,52 @@ def read_blocks(raw: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
         layers = []
         for p in range(planes):
             i = p * across * down + k
-            data = raw[places[i] : places[i] + sizes[i]]
-            if h.one(COMPRESSION, 1) != 1:
-                data = zlib.decompress(data)
-            block = np.frombuffer(data, h.dtype)
-            block = block.reshape(-1, bw, per)
-            if h.one(PREDICTOR, 1) == 2:
-                block = np.cumsum(block, axis=1, dtype=block.dtype.newbyteorder("="))
-            layers.append(block[:rows, :cols])
+            data = UNPACK[h.one(COMPRESSION, 1)](raw[places[i] : places[i] + sizes[i]])
+            layers.append(_unpredicted(data[: len(data) // (bw * per * h.dtype.itemsize) * bw * per * h.dtype.itemsize], h, bw, per)[:rows, :cols])
         yield r, c, np.concatenate(layers, axis=2)
 
 
+def head(grid: Grid, dtype: np.dtype, bands: int, names: list[str], sizes: list[int], tile: int) -> bytes:
+    """Everything before the blocks of a tiled, deflated file whose blocks have these sizes; BigTIFF where it must be."""
+    kind = {"u": 1, "i": 2, "f": 3}[np.dtype(dtype).kind]
+    items = "".join(f'<Item name="DESCRIPTION" sample="{i}" role="description">{_escaped(n)}</Item>' for i, n in enumerate(names))
+    model = 2 if grid.srid is not None and _geographic(grid.srid) else 1
+    keys = (1, 1, 0, 3, 1024, 0, 1, model, 1025, 0, 1, 1, PROJECTED_KEY if model == 1 else GEOGRAPHIC_KEY, 0, 1, grid.srid or 32767)
+    big = sum(sizes) + 64 * len(sizes) + (1 << 16) >= 1 << 32
+    word, step = ("Q", 8) if big else ("I", 4)
+    tags = {WIDTH: ("I", (grid.width,)), HEIGHT: ("I", (grid.height,)), BITS: ("H", (np.dtype(dtype).itemsize * 8,) * bands), COMPRESSION: ("H", (8,)), PHOTOMETRIC: ("H", (1,)), SAMPLES: ("H", (bands,)), PLANAR: ("H", (1,)), TILE_W: ("I", (tile,)), TILE_H: ("I", (tile,)), TILES: (word, (0,) * len(sizes)), TILE_BYTES: (word, tuple(sizes)), FORMAT: ("H", (kind,) * bands), SCALE: ("d", (grid.res, grid.res, 0.0)), TIEPOINT: ("d", (0.0, 0.0, 0.0, grid.x0, grid.y0, 0.0)), GEOKEYS: ("H", keys), NODATA: ("s", f"{grid.nodata:g}".encode() + b"\0")}
+    if items:
+        tags[METADATA] = ("s", f"<GDALMetadata>{items}</GDALMetadata>\0".encode())
+    pack = lambda code, v: v if code == "s" else struct.pack(f"<{len(v)}{code}", *v)
+    padded = lambda data: data + b"\0" * (-len(data) % 8)
+    start = (16 + 8 if big else 8 + 2) + (4 + 2 * step) * len(tags) + step
+    start += -start % 8
+    extra = sum(len(padded(d)) for d in (pack(*t) for t in tags.values()) if len(d) > step)
+    places, at = [], start + extra
+    for n in sizes:
+        places.append(at)
+        at += n
+    tags[TILES] = (word, tuple(places))
+    numbers = {"B": 1, "s": 2, "H": 3, "I": 4, "d": 12, "Q": 16}
+    directory, tail = struct.pack("<Q" if big else "<H", len(tags)), b""
+    for tag, (code, v) in sorted(tags.items()):
+        data = pack(code, v)
+        directory += struct.pack("<HH" + word, tag, numbers[code], len(v))
+        if len(data) > step:
+            directory += struct.pack("<" + word, start + len(tail))
+            tail += padded(data)
+        else:
+            directory += data.ljust(step, b"\0")
+    front = b"II" + (struct.pack("<HHHQ", 43, 8, 0, 16) if big else struct.pack("<HI", 42, 8))
+    return (front + directory + struct.pack("<" + word, 0)).ljust(start, b"\0") + tail
+
+
 def write(values: np.ndarray, grid: Grid, names: list[str] | None = None, tile: int = 256) -> bytes:
     """A tiled, deflated GeoTIFF of values (rows, columns, bands); NaN becomes the grid's NoData."""
     if values.ndim == 2:
         values = values[:, :, None]
     if values.dtype.kind == "f":
         values = np.where(np.isnan(values), grid.nodata, values).astype("<f4")
-    kind = {"u": 1, "i": 2, "f": 3}[values.dtype.kind]
     values = values.astype(values.dtype.newbyteorder("<"))
     height, width, bands = values.shape
     blocks = []
@@ -134,32 +227,43 @@ def write(values: np.ndarray, grid: Grid, names: list[str] | None = None, tile:
             part = values[r : r + tile, c : c + tile]
             block[: part.shape[0], : part.shape[1]] = part
             blocks.append(zlib.compress(block.tobytes()))
-    items = "".join(f'<Item name="DESCRIPTION" sample="{i}" role="description">{_escaped(n)}</Item>' for i, n in enumerate(names or []))
-    model = 2 if grid.srid is not None and _geographic(grid.srid) else 1
-    keys = (1, 1, 0, 3, 1024, 0, 1, model, 1025, 0, 1, 1, PROJECTED_KEY if model == 1 else GEOGRAPHIC_KEY, 0, 1, grid.srid or 32767)
-    nodata = f"{grid.nodata:g}".encode() + b"\0"
-    tags = {WIDTH: ("I", (width,)), HEIGHT: ("I", (height,)), BITS: ("H", (values.dtype.itemsize * 8,) * bands), COMPRESSION: ("H", (8,)), PHOTOMETRIC: ("H", (1,)), SAMPLES: ("H", (bands,)), PLANAR: ("H", (1,)), TILE_W: ("I", (tile,)), TILE_H: ("I", (tile,)), TILES: ("I", (0,) * len(blocks)), TILE_BYTES: ("I", tuple(map(len, blocks))), FORMAT: ("H", (kind,) * bands), SCALE: ("d", (grid.res, grid.res, 0.0)), TIEPOINT: ("d", (0.0, 0.0, 0.0, grid.x0, grid.y0, 0.0)), GEOKEYS: ("H", keys), NODATA: ("s", nodata)}
-    if items:
-        tags[METADATA] = ("s", f"<GDALMetadata>{items}</GDALMetadata>\0".encode())
-    start = 8 + 2 + 12 * len(tags) + 4
-    pack = lambda code, v: v if code == "s" else struct.pack(f"<{len(v)}{code}", *v)
-    extra = sum(len(pack(*t)) + len(pack(*t)) % 2 for t in tags.values() if len(pack(*t)) > 4)
-    places, at = [], start + extra
-    for b in blocks:
-        places.append(at)
-        at += len(b)
-    tags[TILES] = ("I", tuple(places))
-    numbers = {"B": 1, "s": 2, "H": 3, "I": 4, "d": 12}
-    directory, tail = struct.pack("<H", len(tags)), b""
-    for tag, (code, v) in sorted(tags.items()):
-        data = pack(code, v)
-        directory += struct.pack("<HHI", tag, numbers[code], len(v))
-        if len(data) > 4:
-            directory += struct.pack("<I", start + len(tail))
-            tail += data + b"\0" * (len(data) % 2)
-        else:
-            directory += data.ljust(4, b"\0")
-    return b"II" + struct.pack("<HI", 42, 8) + directory + struct.pack("<I", 0) + tail + b"".join(blocks)
+    return head(grid, values.dtype, bands, names or [], [len(b) for b in blocks], tile) + b"".join(blocks)
+
+
+def write_raster(df: DataFrame, uri: str, grid: Grid, columns: list[str], dtype: str = "f4", nodata: float | None = None, tile: int = 256) -> None:
+    """df(prow, pcol, columns) as one GeoTIFF with a band per column; NULL and missing pixels become NoData.
+
+    Tiles are compressed where their pixels are and written to a table beside the file; sizes (a number per tile) make the
+    header, and the tiles follow in order, of which the driver holds one partition at a time."""
+    spark, kind, across, down = df.sparkSession, np.dtype(dtype).newbyteorder("<"), -(-grid.width // tile), -(-grid.height // tile)
+    grid = replace(grid, nodata=grid.nodata if nodata is None else nodata)
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        block = np.full((tile, tile, len(columns)), grid.nodata, kind)
+        r, c = rows["prow"].to_numpy() % tile, rows["pcol"].to_numpy() % tile
+        for k, name in enumerate(columns):
+            have = rows[name].notna().to_numpy()
+            block[r[have], c[have], k] = rows[name].to_numpy()[have]
+        return pd.DataFrame({"block": [key[0]], "data": [zlib.compress(block.tobytes())]})
+
+    place = (F.floor(F.col("prow") / tile) * across + F.floor(F.col("pcol") / tile)).cast("long").alias("block")
+    beside = f"{uri}.blocks"
+    df.select(place, "prow", "pcol", *columns).groupBy("block").applyInPandas(pack, "block long, data binary").write.mode("overwrite").parquet(beside)
+    blocks = spark.read.schema("block long, data binary").parquet(beside)
+    sizes = {r.block: r.n for r in blocks.select("block", F.octet_length("data").alias("n")).collect()}
+    blank = zlib.compress(np.full((tile, tile, len(columns)), grid.nodata, kind).tobytes())
+
+    def parts() -> Iterator[bytes]:
+        yield head(grid, kind, len(columns), columns, [sizes.get(k, len(blank)) for k in range(across * down)], tile)
+        at = 0
+        for r in blocks.orderBy("block").toLocalIterator():
+            yield blank * (r.block - at)
+            yield bytes(r.data)
+            at = r.block + 1
+        yield blank * (across * down - at)
+
+    store.write(spark, uri, parts())
+    store.remove(spark, beside)
 
 
 def _escaped(text: str) -> str:
@@ -211,21 +315,7 @@ def read_grids(spark: SparkSession, path: str) -> dict[str, tuple[Grid, list[str
     return {r.path: (Grid(r.x0, r.y0, r.res, r.width, r.height, r.srid, r.nodata), r.bands) for r in table.collect()}
 
 
-def collect_raster(df: DataFrame, grid: Grid, columns: list[str], dtype: str = "f4") -> np.ndarray:
-    """The grid's array for a file that is to be written as one: driver-sized rasters only (width * height is known)."""
-    if grid.width * grid.height * len(columns) > 200_000_000:
-        raise RasterError("too large for one file; write tiles or Parquet")
-    out = np.full((grid.height, grid.width, len(columns)), grid.nodata, dtype)
-    data = df.select("prow", "pcol", *columns).toPandas()
-    for k, c in enumerate(columns):
-        good = data[c].notna()
-        out[data["prow"][good], data["pcol"][good], k] = data[c][good]
-    return out
-
-
 def write_tiles(df: DataFrame, path: str, tile: int = 1024) -> None:
     """The scalable raster sink: Parquet, partitioned by tile and sorted by pixel."""
-    from pyspark.sql import functions as F
-
     keyed = df.withColumn("tile_row", F.floor(F.col("prow") / tile).cast("int")).withColumn("tile_col", F.floor(F.col("pcol") / tile).cast("int"))
     keyed.repartition("tile_row", "tile_col").sortWithinPartitions("prow", "pcol").write.mode("overwrite").partitionBy("tile_row", "tile_col").parquet(path)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldgrid.sources import store
+
 METADATA = "MTD_TL.xml"
 
 
@@ -36,11 +37,14 @@ def srid_from_xml(text: str | bytes) -> int | None:
     return None
 
 
-def find_srid(raster_srid: int | None, path: str | Path) -> int:
-    """The raster's own code, else that of the nearest product metadata above it."""
+def find_srid(spark: SparkSession, raster_srid: int | None, root: str, path: str) -> int:
+    """The raster's own code, else that of the nearest product metadata above it, up to the imagery's root."""
     if raster_srid:
         return raster_srid
-    for folder in Path(path).parents:
-        if (folder / METADATA).exists() and (srid := srid_from_xml((folder / METADATA).read_bytes())):
+    folder = path
+    while folder:
+        folder = folder.rpartition("/")[0]
+        uri = "/".join(x for x in (root.rstrip("/"), folder, METADATA) if x)
+        if store.exists(spark, uri) and (srid := srid_from_xml(store.read(spark, uri))):
             return srid
     raise CrsNotFound(f"no reference system for {path}")

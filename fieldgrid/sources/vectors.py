@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldgrid.functions.projection import reproject
+from fieldgrid.sources import store
 
 _P = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 ARROW = pa.schema([("feature_id", pa.int64()), ("geom_type", pa.string()), ("is_empty", pa.bool_()), ("points", pa.list_(_P)), ("rings", pa.list_(pa.list_(_P))), ("attributes", pa.map_(pa.string(), pa.string()))])
@@ -108,6 +110,33 @@ def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_decode, SCHEMA)
 
 
+def srid_of_wkt(text: str) -> int | None:
+    """The code that a system's text names: its own authority code, or a WGS 84 or UTM name."""
+    codes = re.findall(r'(?:AUTHORITY|ID)\["EPSG",\s*"?(\d+)"?\]', text)
+    if codes:
+        return int(codes[-1])
+    zone = re.search(r"WGS[ _]?(?:19)?84[ _/]*UTM[ _]zone[ _](\d+)([NS])", text, re.IGNORECASE)
+    if zone:
+        return (32600 if zone[2].upper() == "N" else 32700) + int(zone[1])
+    return 4326 if text.lstrip().startswith("GEOG") and "WGS_1984" in text else None
+
+
+def layer_srid(spark: SparkSession, path: str) -> int:
+    """The layer's own system: the .prj beside a shapefile; the crs member of GeoJSON, which has WGS 84 without one."""
+    if path.lower().endswith(".shp"):
+        beside = path[:-4] + ".prj"
+        found = srid_of_wkt(store.read(spark, beside).decode("utf-8", "replace")) if store.exists(spark, beside) else None
+        if found is None:
+            raise VectorError(f"{path} doesn't tell its reference system")
+        return found
+    data = json.loads(store.read(spark, path))
+    named = str(((data.get("crs") or {}).get("properties") or {}).get("name", "OGC:1.3:CRS84"))
+    code = re.search(r"EPSG:+(?:[\d.]+:)?(\d+)$", named)
+    if not code and "CRS84" not in named:
+        raise VectorError(f"{path} names an unknown reference system {named!r}")
+    return int(code[1]) if code else 4326
+
+
 def reproject_layer(layer: DataFrame, source: int, target: int) -> DataFrame:
     if source == target:
         return layer

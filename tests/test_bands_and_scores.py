@@ -62,12 +62,12 @@ def test_crs_guard():
             require_projected(bad)
 
 
-@pytest.mark.parametrize(("name", "band", "hit"), [("T_B02_10m.jp2", "B02", True), ("X_FRE_B2.tif", "B02", True), ("T_B8A_20m.jp2", "B08", False), ("T_B8A_20m.jp2", "B8A", True), ("T_b08.tif", "B08", True), ("T_B12.tif", "B02", False)])
+@pytest.mark.parametrize(("name", "band", "hit"), [("T_B02_10m.jp2", "B02", True), ("X_FRE_B2.tif", "B02", True), ("T_B8A_20m.jp2", "B08", False), ("T_B8A_20m.jp2", "B8A", True), ("T_b08.tif", "B08", True), ("T_B12.tif", "B02", False), ("T-B02 x.tif", "B02", True), ("B2", "B02", True), ("T.B02.tif", "B02", False), ("TB02.tif", "B02", False), ("T_B020.tif", "B02", False)])
 def test_band_tokens(spark, name, band, hit):
     assert spark.range(1).select(paths.has_band(F.lit(name), band)).first()[0] is hit
 
 
 def test_resolution_and_safe_names(spark):
-    got = [spark.range(1).select(paths.resolution(F.lit(p))).first()[0] for p in ("a/T_B02_10m.jp2", "R20m/T_B02.jp2", "T_B02.jp2", "x/T.60m.tif")]
-    assert got == [10.0, 20.0, None, 60.0]
+    got = [spark.range(1).select(paths.resolution(F.lit(p))).first()[0] for p in ("a/T_B02_10m.jp2", "R20m/T_B02.jp2", "T_B02.jp2", "x/T.60m.tif", "IMG_DATA/R60m/T_B02.jp2", "a/b10m/T.jp2", "R10m/a/b/c/T.jp2")]
+    assert got == [10.0, 20.0, None, 60.0, 60.0, None, None]
     assert spark.range(1).select(paths.safe_id(F.lit("a b/c:1.tif"))).first()[0] == "a_b_c_1.tif"

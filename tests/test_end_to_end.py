@@ -3,10 +3,12 @@
 import json
 
 import numpy as np
+import pytest
 
 from fieldgrid.plans import classification
-from fieldgrid.plans.config import ModelingConfig, PathConfig, ProjectConfig, RasterPrepConfig, SpatialValidationConfig
 from fieldgrid.plans.grid import Grid
+from fieldgrid.plans.settings import Blocks, Imagery, Masks, Products, Run, Samples, Search, SettingError
+from fieldgrid.operators import model
 from fieldgrid.sources import geotiff
 
 
@@ -31,15 +33,34 @@ def test_run(spark, tmp_path):
         r, c = (int(v) for v in rng.integers(0, 40, 2))
         features.append({"type": "Feature", "properties": {"label": "wood" if kind[r, c] == 1 else "field"}, "geometry": {"type": "Point", "coordinates": [g.x0 + c * 10 + 5, g.y0 - r * 10 - 5]}})
     (tmp_path / "train.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
-    cfg = ProjectConfig(
-        PathConfig(tmp_path, tmp_path / "img", tmp_path / "train.geojson"),
-        raster=RasterPrepConfig(optional_bands=(), use_cloud_masks=True, cloud_mask_regex=r"^cloud\.tif$"),
-        validation=SpatialValidationConfig(block_size=100.0, requested_cv_splits=2),
-        modeling=ModelingConfig(rf_space={"n_estimators": [3], "max_depth": [4]}, randomized_search_iterations=1, include_svm=False, run_feature_experiments=False),
+    out = tmp_path / "outputs"
+    plan = Run(
+        Imagery(str(tmp_path / "img"), more_bands=(), masks=Masks(r"^cloud\.tif$")),
+        Samples(str(tmp_path / "train.geojson"), srid=32735),
+        Products(str(out)),
+        Blocks(metres=100.0, folds=2),
+        Search(forests={"n_estimators": [3], "max_depth": [4]}, trials=1, svm=False, selection=False),
     )
-    meta = classification.run(spark, cfg)
+    meta = classification.run(spark, plan)
     assert meta["holdout"]["raw"]["accuracy"] > 0.9 and meta["extraction"]["point_objects"] == 120
-    assert json.loads((tmp_path / "outputs" / "metrics" / "run.json").read_text())["model"] == "random_forest"
-    stack = spark.read.parquet(str(tmp_path / "outputs" / "prepared" / "feature_stack.parquet"))
+    assert json.loads((out / "metrics" / "run.json").read_text())["model"] == "random_forest"
+    stack = spark.read.parquet(str(out / "prepared" / "feature_stack.parquet"))
     assert stack.count() == 1600 and stack.filter("B02 IS NULL").count() == 0
-    assert (tmp_path / "outputs" / "rasters" / "classes.qml").exists()
+    assert (out / "rasters" / "classes.qml").exists()
+    # the written rasters, read again, hold what the tables hold
+    table = spark.read.parquet(str(out / "rasters" / "predictions.parquet")).orderBy("prow", "pcol").toPandas()
+    for name, columns in (("landcover_raw", ["class"]), ("model_confidence", ["confidence"]), ("entropy_uncertainty_proxy", ["entropy"])):
+        read = geotiff.read_pixels(spark, str(out / "rasters" / f"{name}.tif")).orderBy("prow", "pcol").toPandas()
+        assert list(read["band"].unique()) == columns and np.allclose(read["value"], table[columns[0]].astype("f4"), equal_nan=True)
+    grids = geotiff.read_grids(spark, str(out / "rasters" / "class_probability_scores.tif"))
+    (grid, bands), = grids.values()
+    assert (grid.width, grid.height, grid.srid) == (40, 40, 32735) and bands == ["class_1_score", "class_2_score"]
+    assert geotiff.read_pixels(spark, str(out / "prepared" / "feature_stack.tif")).select("band").distinct().count() == len(stack.columns) - 4
+    again = model.load_model(spark, str(out / "models" / "selected"))
+    assert model.classify_pixels(again, stack, again.names).filter("class IS NOT NULL").count() == 1600
+
+
+def test_choices_are_checked():
+    for bad in (lambda: Search(score="kappa"), lambda: Imagery("x", resampling="cubic"), lambda: Products("x", window=4), lambda: Blocks(held_out=1.0), lambda: Search(keep="most")):
+        with pytest.raises(SettingError):
+            bad()

@@ -1,3 +1,6 @@
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -173,12 +176,14 @@ def test_shapefile(spark, tmp_path):
     assert len(got[1].rings[0]) == 4
 
 
-def test_product_metadata(tmp_path):
+def test_product_metadata(spark, tmp_path):
     xml = b'<n1:T xmlns:n1="urn:x"><n1:G><HORIZONTAL_CS_CODE>EPSG:32735</HORIZONTAL_CS_CODE></n1:G></n1:T>'
     assert safe.srid_from_xml(xml) == 32735
     (tmp_path / "MTD_TL.xml").write_bytes(xml)
     (tmp_path / "IMG").mkdir()
-    assert safe.find_srid(None, tmp_path / "IMG" / "a.tif") == 32735 and safe.find_srid(32601, "x") == 32601
+    assert safe.find_srid(spark, None, str(tmp_path), "IMG/a.tif") == 32735 and safe.find_srid(spark, 32601, "x", "x") == 32601
+    with pytest.raises(safe.CrsNotFound):
+        safe.find_srid(spark, None, str(tmp_path / "IMG"), "a.tif")
     with pytest.raises(safe.CrsNotFound):
         safe.srid_from_xml("<a")
 
@@ -191,3 +196,81 @@ def test_utm_round_trip_and_known_point(spark):
     rows = df.select("lon", "lat", "x", "y", lon.alias("lon2"), lat.alias("lat2")).collect()
     assert all(abs(r.lon - r.lon2) < 1e-9 and abs(r.lat - r.lat2) < 1e-9 for r in rows)
     assert rows[0].x == pytest.approx(500000.0, abs=1e-6) and rows[0].y == pytest.approx(10000000.0, abs=1e-3)
+
+
+def _tiff(values, compression, predictor, pack, big=False, order="<"):
+    """A one-strip file of values (rows, columns) with the given compression."""
+    raw = values.astype(values.dtype.newbyteorder(order))
+    if predictor == 2:
+        raw = np.diff(raw, axis=1, prepend=np.zeros((len(raw), 1), raw.dtype)).astype(raw.dtype)
+    data = raw.tobytes()
+    if predictor == 3:
+        planes = np.ascontiguousarray(values.astype(">f4").view(np.uint8).reshape(*values.shape, 4).transpose(0, 2, 1)).reshape(len(values), -1)
+        data = np.diff(planes, axis=1, prepend=np.zeros((len(planes), 1), np.uint8)).astype(np.uint8).tobytes()
+    data = pack(data)
+    kind = {"u": 1, "i": 2, "f": 3}[values.dtype.kind]
+    step, word, first = (8, "Q", 16) if big else (4, "I", 8)
+    tags = [(256, values.shape[1]), (257, values.shape[0]), (258, values.dtype.itemsize * 8), (259, compression), (273, 0), (277, 1), (278, values.shape[0]), (279, len(data)), (317, predictor), (339, kind)]
+    place = first + (8 if big else 2) + len(tags) * (4 + 2 * step) + step
+    out = (b"II" if order == "<" else b"MM") + (struct.pack(order + "HHHQ", 43, 8, 0, 16) if big else struct.pack(order + "HI", 42, 8)) + struct.pack(order + ("Q" if big else "H"), len(tags))
+    for tag, v in tags:
+        out += struct.pack(order + "HH" + word + word, tag, 16 if big else 4, 1, place if tag == 273 else v)
+    return out + struct.pack(order + word, 0) + data
+
+
+def _lzw(data):
+    """Every byte as a code of its own, with the table cleared before it would need wider codes."""
+    codes, bits = [], ""
+    for at in range(0, len(data), 200):
+        codes += [256, *data[at : at + 200]]
+    for c in [*codes, 257]:
+        bits += f"{c:09b}"
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def _packbits(data):
+    out = b""
+    for at in range(0, len(data), 100):
+        part = data[at : at + 100]
+        out += bytes([257 - len(part)]) + part[:1] if len(part) > 1 and len(set(part)) == 1 else bytes([len(part) - 1]) + part
+    return out + bytes([128])
+
+
+def test_tiff_compressions_predictors_and_big_files():
+    rng = np.random.default_rng(4)
+    floats, ints = rng.normal(0, 100, (7, 9)).astype("f4"), rng.integers(0, 60000, (7, 9)).astype("u2")
+    ints[3] = 7
+    for order in "<>":
+        for big in (False, True):
+            for number, pack in ((1, bytes), (5, _lzw), (8, zlib.compress), (32773, _packbits)):
+                for values, predictor in ((floats, 1), (ints, 1), (ints, 2), (floats, 3)):
+                    (r, c, got), = geotiff.read_blocks(_tiff(values, number, predictor, pack, big, order))
+                    assert (r, c) == (0, 0) and np.array_equal(got[:, :, 0], values), (order, big, number, predictor)
+    assert geotiff.unpack_lzw(bytes.fromhex("8000c08080a8000000")[:0]) == b""
+    head = geotiff.head(Grid(0.0, 100.0, 1.0, 256, 512, 32735), "f4", 1, ["a"], [5_000_000_000, 7], 256)
+    h = geotiff.read_header(head)
+    assert h.tags[geotiff.TILES] == (len(head), len(head) + 5_000_000_000) and h.grid.srid == 32735 and h.band_names == ["a"]
+
+
+def test_lzw_with_a_growing_table():
+    # a decoder's view of a run of one byte: each code is the entry that is just being made
+    codes, bits, width, size = [256, 65] + list(range(258, 258 + 700)) + [257], "", 9, 258
+    for k, c in enumerate(codes):
+        bits += f"{c:0{width}b}"
+        size = 258 if c == 256 else size + (k > 1)
+        width = 9 if c == 256 else min(max((size + 1).bit_length(), 9), 12)
+    bits += "0" * (-len(bits) % 8)
+    assert geotiff.unpack_lzw(int(bits, 2).to_bytes(len(bits) // 8, "big")) == b"A" * (1 + sum(range(2, 702)))
+
+
+def test_layer_systems(spark, tmp_path):
+    assert vectors.srid_of_wkt('PROJCS["WGS_1984_UTM_Zone_35S",GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984"]]]') == 32735
+    assert vectors.srid_of_wkt('PROJCS["x",GEOGCS["y",AUTHORITY["EPSG","4326"]],AUTHORITY["EPSG","32601"]]') == 32601
+    assert vectors.srid_of_wkt('GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984"]]') == 4326 and vectors.srid_of_wkt("LOCAL") is None
+    (tmp_path / "a.geojson").write_text('{"type": "FeatureCollection", "features": [], "crs": {"properties": {"name": "urn:ogc:def:crs:EPSG::32735"}}}')
+    (tmp_path / "b.geojson").write_text('{"type": "FeatureCollection", "features": []}')
+    assert [vectors.layer_srid(spark, str(tmp_path / f"{k}.geojson")) for k in "ab"] == [32735, 4326]
+    (tmp_path / "c.shp").write_bytes(b"")
+    with pytest.raises(vectors.VectorError):
+        vectors.layer_srid(spark, str(tmp_path / "c.shp"))
