@@ -7,10 +7,12 @@ difference between the new count and the old. Changes are summed before they are
 written, so a batch is as small as its number of groups, and totals are the sum
 over batches.
 
-A batch is committed once: its folder is named by its id and valid only with the
-writer's success mark. A commit with a known id does nothing; a batch whose
-writer died has no mark, is ignored by readers and overwritten by the retry.
-``compact`` folds the committed batches into one, keeping the list of their ids.
+A batch is committed once: it is written to a folder of the writer's own and then
+renamed to one named by its id, a single step of the store that fails if the name
+is taken. So a commit with a known id does nothing, two writers of one id leave
+one batch, and what a writer that died has left behind is never read. ``compact``
+folds the committed batches into a new base with the list of their ids, renamed in
+the same way, and then drops them; one process compacts at a time.
 
 Defined cases: null source or language form groups of their own; null counts
 add nothing; null texts have no tokens; an empty batch commits and changes
@@ -19,9 +21,12 @@ nothing; groups whose totals are all zero are left out.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,55 +65,79 @@ def revisions(docs: DataFrame, old: Column, new: Column, tokenizer: str) -> Data
 class TokenRollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._hadoop, self._settings = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._at("").getFileSystem(self._settings)
 
-    def _done(self, folder: str) -> bool:
-        return self._fs.exists(self._path(f"{folder}/_SUCCESS"))
+    def _at(self, name: str):
+        return self._hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    def _folders(self) -> list[str]:
-        if not self._fs.exists(self._path(self.path)):
+    def _names(self, kind: str) -> list[str]:
+        """Names of the committed folders of a kind, sorted."""
+        if not self._fs.exists(self._at("")):
             return []
-        found = [f"{self.path}/{s.getPath().getName()}" for s in self._fs.listStatus(self._path(self.path))]
-        return sorted(f for f in found if self._done(f))
-
-    def _bases(self) -> list[str]:
-        return [f for f in self._folders() if "/base-" in f]
+        return sorted(n for s in self._fs.listStatus(self._at("")) if (n := s.getPath().getName()).startswith(f"{kind}-"))
+
+    def _publish(self, draft: str, name: str) -> bool:
+        """Rename a draft to its committed name; False if that is taken."""
+        files = self._hadoop.fs.FileContext.getFileContext(self._at("").toUri(), self._settings)
+        none = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(self._at(draft), self._at(name), none)
+        except Py4JJavaError as e:
+            if not self._fs.exists(self._at(name)):
+                raise
+            self._fs.delete(self._at(draft), True)
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        return True
 
-    def _folded(self) -> set[str]:
+    def _ids(self) -> DataFrame:
         """Ids that the newest base holds."""
-        return {r.id for r in self.spark.read.json(f"{self._bases()[-1]}/ids").collect()} if self._bases() else set()
+        bases = self._names("base")
+        return self.spark.read.schema("id string").parquet(f"{self.path}/{bases[-1]}/ids") if bases else self.spark.createDataFrame([], "id string")
+
+    def _open(self) -> list[str]:
+        """Batches that the newest base doesn't hold: few, for compact drops what it folds."""
+        names = self._names("batch")
+        folded = {r.id for r in self._ids().filter(F.col("id").isin([_id(n) for n in names])).collect()} if names else set()
+        return [n for n in names if _id(n) not in folded]
 
     def committed(self) -> set[str]:
-        return self._folded() | {f.rpartition("/batch-")[2] for f in self._folders() if "/batch-" in f}
+        return {r.id for r in self._ids().collect()} | {_id(n) for n in self._names("batch")}
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch of changes; False if that id is already in."""
-        if batch_id in self.committed():
+        name = f"batch-{quote(batch_id, safe='')}"
+        if self._fs.exists(self._at(name)) or not self._ids().filter(F.col("id") == batch_id).isEmpty():
             return False
+        draft = f"draft-{uuid.uuid4().hex}"
         sums = [F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in TOTALS]
-        changes.groupBy(*GROUPS).agg(*sums).write.mode("overwrite").parquet(f"{self.path}/batch-{batch_id}")
-        return True
+        changes.groupBy(*GROUPS).agg(*sums).write.parquet(f"{self.path}/{draft}")
+        return self._publish(draft, name)
 
     def totals(self) -> DataFrame:
-        folded = self._folded()
-        parts = [f"{b}/sums" for b in self._bases()[-1:]] + [f for f in self._folders() if "/batch-" in f and f.rpartition("/batch-")[2] not in folded]
+        parts = [f"{self.path}/{b}/sums" for b in self._names("base")[-1:]] + [f"{self.path}/{n}" for n in self._open()]
         if not parts:
             return self.spark.createDataFrame([], SCHEMA)
         sums = [F.sum(c).alias(c) for c in TOTALS]
         return self.spark.read.schema(SCHEMA).parquet(*parts).groupBy(*GROUPS).agg(*sums).filter(" OR ".join(f"{c} <> 0" for c in TOTALS))
 
     def compact(self) -> None:
-        """Fold all committed batches into a new base, then drop what it replaces. The mark is written last."""
-        old, ids = self._folders(), sorted(self.committed())
-        base = f"{self.path}/base-{len(self._bases()):08d}"
-        self.totals().write.mode("overwrite").parquet(f"{base}/sums")
-        self.spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.mode("overwrite").json(f"{base}/ids")
-        self._fs.create(self._path(f"{base}/_SUCCESS"), True).close()
-        for folder in old:
-            if "/batch-" in folder:
-                self._fs.delete(self._path(folder), True)
+        """Fold all committed batches into a new base, then drop what it replaces."""
+        bases, batches, draft = self._names("base"), self._names("batch"), f"draft-{uuid.uuid4().hex}"
+        new = [n for n in self._open()]
+        self.totals().write.parquet(f"{self.path}/{draft}/sums")
+        added = self.spark.createDataFrame([(_id(n),) for n in new], "id string")
+        self._ids().union(added).write.parquet(f"{self.path}/{draft}/ids")
+        number = int(bases[-1].rpartition("-")[2]) + 1 if bases else 0
+        if self._publish(draft, f"base-{number:08d}"):
+            for name in [*batches, *bases]:
+                self._fs.delete(self._at(name), True)
+
+
+def _id(name: str) -> str:
+    return unquote(name.partition("-")[2])
 
 
 def load_corpus(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k", vocabulary: str | None = None, keep_empty: bool = False) -> DataFrame:

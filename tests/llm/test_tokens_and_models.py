@@ -80,7 +80,7 @@ def test_rollup_is_idempotent_and_signed(spark, tmp_path):
     assert roll.totals().collect() == []
     one = token_rollup.inserts(docs, F.lit(5), "v1")
     assert roll.commit("a", one) and not roll.commit("a", one)
-    (tmp_path / "r" / "batch-dead").mkdir()  # a writer that died leaves no mark
+    one.write.parquet(str(tmp_path / "r" / "draft-dead"))  # what a writer that died leaves behind
     assert roll.commit("b", token_rollup.deletes(docs.filter("doc_id = 2"), F.lit(5), "v1"))
     assert roll.commit("c", token_rollup.revisions(docs.filter("doc_id = 1"), F.lit(5), F.lit(9), "v1"))
     want = {("s", "en"): (2, 14), ("s", None): (1, 5)}
@@ -90,6 +90,23 @@ def test_rollup_is_idempotent_and_signed(spark, tmp_path):
     assert not roll.commit("a", one) and roll.commit("dead", one) and roll.committed() == {"a", "b", "c", "dead"}
 
 
+def test_rollup_below_any_folder_and_with_any_id(spark, tmp_path):
+    one = spark.createDataFrame([("s", "en", "v", 1, 5)], token_rollup.SCHEMA)
+    roll = token_rollup.TokenRollup(spark, str(tmp_path / "base-1" / "batch-runs" / "r"))
+    for batch in ("2024/01 a%b", "batch-x", "base-1"):
+        assert roll.commit(batch, one) and not roll.commit(batch, one)
+        roll.compact()
+        assert not roll.commit(batch, one)
+    assert roll.committed() == {"2024/01 a%b", "batch-x", "base-1"}
+    assert [(r.n_docs, r.n_tokens) for r in roll.totals().collect()] == [(3, 15)]
+    # a second writer of the same id, who saw none, loses the race and leaves nothing
+    one.write.parquet(f"{roll.path}/draft-late")
+    one.write.parquet(f"{roll.path}/batch-late")
+    assert not roll._publish("draft-late", "batch-late") and roll._names("draft") == []
+    none = spark.createDataFrame([], token_rollup.SCHEMA)
+    assert roll.commit("nothing", none) and {r.n_docs for r in roll.totals().collect()} == {4}
+
+
 def test_corpus_totals_equal_direct_counts(spark, tmp_path):
     docs = [(1, "Hello there  world", "s", "en"), (2, "Hello", "s", "en"), (3, None, "s", "en"), (4, "é", None, "fr")]
     got = token_rollup.load_corpus(spark, spark.createDataFrame(docs, "doc_id long, text string, source string, lang string"), str(tmp_path / "x")).collect()
