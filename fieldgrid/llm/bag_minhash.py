@@ -44,11 +44,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldgrid.llm.common import broadcast_if_small, materialise
+from fieldgrid.llm.common import broadcast_if_small, is_scan, materialise
 
 SHINGLE = 5
 #: Bags of a large class that all members of other classes in its buckets meet.
@@ -171,22 +170,9 @@ def overlap(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> flo
     return both / (int(ca.sum()) + int(cb.sum()) - both)
 
 
-def _is_scan(docs: DataFrame) -> bool:
-    """Whether docs is a scan of files with deterministic projections and filters only."""
-    node = docs._jdf.queryExecution().optimizedPlan()
-    if not node.deterministic() or "_metadata" in docs.columns:
-        return False
-    while node.nodeName() in ("Project", "Filter"):
-        node = node.children().head()
-    try:
-        return node.nodeName() == "LogicalRelation" and bool(docs.select("_metadata.row_index").columns)
-    except AnalysisException:
-        return False
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
     """_row (all columns), doc_id, text and _n, a row's file (hashed) and place in it, the same at every reading."""
-    if not _is_scan(docs):
+    if not is_scan(docs):
         docs = materialise(docs.select(F.struct("*").alias("_row")), "rows")
         row, at = F.col("_row"), lambda c: F.col(f"_row.{c}")
     else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset a folder of this machine stands
+    in for it, but only if everything runs in this machine's one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="fieldgrid-")
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/fieldgrid"
@@ -35,6 +39,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_scan(docs: DataFrame) -> bool:
+    """Whether docs is a scan of files with deterministic projections and filters only."""
+    node = docs._jdf.queryExecution().optimizedPlan()
+    if not node.deterministic() or "_metadata" in docs.columns:
+        return False
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    try:
+        return node.nodeName() == "LogicalRelation" and bool(docs.select("_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldgrid.llm import quality_rules, url_reputation
 from fieldgrid.llm.quality_rules import RULES
@@ -52,6 +53,25 @@ def test_cascade_plan_covers_every_rule_and_takes_empty_tables(spark):
     assert quality_rules.judge(empty).collect() == []
 
 
+def test_a_rejected_row_meets_no_later_feature(spark):
+    """A feature that can't be made of rejected rows: it is never asked for, in whichever place its rule stands."""
+    trap = quality_rules.Feature((("trap", lambda: F.when(F.col("n_words") < 10, F.raise_error(F.lit("made"))).otherwise(F.size("_w"))),), ("words",))
+    features = {**quality_rules.FEATURES, "trap": trap}
+    late = quality_rules.Rule("late", ("trap",), lambda t: F.col("trap") > 100)
+    df = spark.createDataFrame([(1, "a b c"), (2, " ".join(WORDS)), (3, " ".join(WORDS) * 20), (4, None)], "doc_id long, text string")
+    start = df.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"), F.lit(None).cast("string").alias("_why"))
+    got = {r.doc_id: r._why for r in quality_rules.run_cascade(start, [RULES[0], late], features=features).collect()}
+    assert got == {1: "few_words", 2: None, 3: "late", 4: "few_words"}
+    with pytest.raises(Exception, match="made"):
+        quality_rules.run_cascade(start, [late, RULES[0]], features=features).collect()
+
+
+def test_cheap_rules_that_reject_much_come_first(spark):
+    rows = [(i, "one two" if i % 2 else " ".join(WORDS[: 12 + i % 3])) for i in range(300)]
+    order = quality_rules.plan_cascade(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert order[0].name == "few_words"
+
+
 @pytest.mark.parametrize(
     ("url", "host", "path", "rule"),
     [
