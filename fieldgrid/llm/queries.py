@@ -57,5 +57,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_license_scan, op4_token_counts, op5_near_dedup, op6_quality_rules, op7_suffix_dedup, op8_decontamination, op9_quality_classifier, op10_packing)}
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations under limits on tokens, segments and the answers' tokens, all of which bind."""
+    return packing.pack(packing.instruction_examples(table(spark, sf_dir, "conversations")), packing.Capacity(2048, 8, 1024))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_license_scan, op4_token_counts, op5_near_dedup, op6_quality_rules, op7_suffix_dedup, op8_decontamination, op9_quality_classifier, op10_packing, conversation_packing)}
 ORACLES = {"op2_url_filters": url_reputation.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op8_decontamination": decontamination.ORACLE_SQL}

@@ -22,34 +22,19 @@ nothing; groups whose totals are all zero are left out.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
-import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldgrid.llm.tokens import ByteBpe, default_vocabulary
+from fieldgrid.llm.tokens import count_tokens
 
 GROUPS = ["source", "lang", "tokenizer"]
 TOTALS = ["n_docs", "n_tokens"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
-def count_tokens(text: Column, vocabulary: str | None = None) -> Column:
-    """Ids of a text under a byte-level BPE vocabulary, counted; 0 for null."""
-    path = vocabulary or default_vocabulary()
-
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = ByteBpe.of(path)
-        for texts in batches:
-            yield pd.Series([len(bpe.encode(t)) if t else 0 for t in texts], dtype="int64")
-
-    return count(text)
-
-
 def inserts(docs: DataFrame, tokens: Column, tokenizer: str) -> DataFrame:
     return docs.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(1).cast("long").alias("n_docs"), tokens.cast("long").alias("n_tokens"))
 

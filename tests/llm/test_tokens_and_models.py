@@ -53,12 +53,65 @@ def test_packing_is_an_exact_round_trip(spark):
     for s in sequences.values():
         at = 0
         for p in sorted(s, key=lambda p: p.offset):
-            assert p.offset == at and p.length > 0
+            assert p.offset == at and p.length > 0 and p.segments == len(s) <= 8 and p.loss_tokens == p.length - 1
             at += p.length
         assert at <= 2048 and at & (at - 1) == 0
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def _packed(lengths, capacity):
+    packer = packing._Packer(0, capacity)
+    packer.add(list(enumerate(lengths)))
+    packer.finish()
+    found, covered = {}, {}
+    for doc, start, n, sequence, at, segments in packer.out:
+        found.setdefault(sequence, []).append((at, n, segments))
+        covered.setdefault(doc, []).append((start, n))
+    for doc, n in enumerate(lengths):
+        at = 0
+        for start, k in sorted(covered[doc]):
+            assert start == at and k > 0
+            at += k
+        assert at == n
+    for parts in found.values():
+        at = 0
+        for place, n, segments in sorted(parts):
+            assert place == at and segments == len(parts) <= capacity.segments
+            at += n
+        assert at <= capacity.tokens and at - len(parts) <= capacity.loss and (at == capacity.tokens or at & (at - 1) == 0)
+    return found, covered
+
+
+def test_each_limit_of_cut_documents_binds():
+    g = random.Random(6)
+    mixed = [g.choice([1, 3, 20, 200, 700, 3000]) for _ in range(400)]
+    free, _ = _packed(mixed, packing.Capacity(2048, 2048, 2047))
+    tight, covered = _packed(mixed, packing.Capacity(2048, 8, 2047))
+    assert max(len(p) for p in free.values()) > 8 == max(len(p) for p in tight.values())  # segments
+    short = [5] * 300
+    tight, _ = _packed(short, packing.Capacity(2048, 8, 2047))
+    loose, _ = _packed(short, packing.Capacity(2048, 2048, 2047))
+    assert max(sum(n for _, n, _ in p) for p in tight.values()) <= 40 < 1024 <= max(sum(n for _, n, _ in p) for p in loose.values())
+    less, _ = _packed(mixed, packing.Capacity(2048, 8, 511))  # loss-bearing tokens
+    assert max(sum(n - 1 for _, n, _ in p) for p in less.values()) <= 511
+    # documents that fit whole are seldom cut where longer ones are there to be cut
+    whole = [n for n in mixed if n < 2048]
+    assert sum(len(covered[d]) > 1 for d, n in enumerate(mixed) if n < 2048) < 0.2 * len(whole)
+
+
+def test_packing_of_any_lengths_is_gapless():
+    g = random.Random(7)
+    for _ in range(60):
+        _packed([g.choice([1, 2, 7, 64, 100, 2047, 2048, 2049, 5000]) for _ in range(g.randint(1, 60))], packing.Capacity(2048, g.choice([1, 2, 3, 8]), 2047))
+
+
+def test_conversations_become_examples_of_which_answers_bear_loss(spark):
+    turns = [(1, 0, "user", "Hello there"), (1, 1, "assistant", "Yes"), (2, 0, "assistant", None), (None, 0, "user", "x"), (None, 0, None, "")]
+    got = packing.instruction_examples(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()
+    n = lambda t: len(_plain().encode(t or "", add_special_tokens=False).ids) + 1
+    assert {r.id: (r.tokens, r.loss_tokens) for r in got} == {1: (n("Hello there") + n("Yes"), n("Yes")), 2: (1, 1), None: (n("x") + 1, 0)}
+
+
 def test_whole_examples_respect_all_limits(spark):
     g = random.Random(3)
     rows = [(i, g.randint(1, 900), g.randint(0, 300)) for i in range(200)] + [(900, 5000, 1), (901, None, None)]
