@@ -2,18 +2,24 @@
 
 A text's candidate blocks are its license cues with all words around them that
 the longest wording could take, so wordings wrapped over lines or set in comments
-stay whole. Every template is aligned with the block's words, and the words that
-are missing or put in between decide: a wording is confirmed if at most a set
-share of the template's words differs; ``exact`` means none. A block may hold any number of wordings; only those that
-match the same words compete, and the closest wins. The confirmed words are
-compressed with zstandard, once alone and once with the template as raw
-dictionary; the share of bytes that the dictionary saves must be positive and is
-reported.
+stay whole. A block is compressed with zstandard, once alone and once with each
+template as raw dictionary, and the templates are ranked by the bytes they save. The
+rank is the order in which they are confirmed and settles ties; it rules none out, for
+a short wording beside a longer one may save nothing ("All rights reserved." beside
+a license line costs a byte). Confirmation is by exact wording differences: a template is aligned with the block's words, and the words that are
+missing or put in between decide. A wording is confirmed if at most a set share of
+the template's words differs and none of those that tell licenses apart (version
+numbers, lesser, affero and so on); ``exact`` means none. A block may hold any
+number of wordings; where some match the same words, the one that matches most
+words and differs least wins. The saving of the confirmed words is reported.
+
+SPDX tags name licenses by identifier and are read as they stand.
 
 Texts without a cue are told apart by one pattern in the scan and never leave
 the JVM. Nothing is shuffled. Defined cases: null and empty texts have no
-blocks; repeated rows and null ids are scanned row by row; empty tables give
-empty results; long texts cost their candidate blocks only.
+blocks; wordings of several licenses that win equally all stay; repeated rows and
+null ids are scanned row by row; empty tables give empty results; long texts are
+read whole and cost their candidate blocks only.
 """
 
 from __future__ import annotations
@@ -27,24 +33,45 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Wordings that count as a license statement, by identifier. Fixed values.
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+BSD_2 = BSD + ": Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_3 = BSD_2 + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+#: Wordings that count as a license statement, by identifier; "BSD" is the sentence that its forms share. Fixed values.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004"],
+    "BSD": [BSD],
+    "BSD-2-Clause": [BSD_2],
+    "BSD-3-Clause": [BSD_3],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "GPL-2.0": ["Distributed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"],
-    "GPL-3.0": ["Licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Proprietary": ["All rights reserved."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
 }
+#: The GNU licenses' names, versions, and what their notices call the work. Fixed values.
+GNU = {
+    "AGPL-3.0": ("GNU Affero General Public License", "3", "program", "19 November 2007"),
+    "GPL-2.0": ("GNU General Public License", "2", "program", "June 1991"),
+    "GPL-3.0": ("GNU General Public License", "3", "program", "29 June 2007"),
+    "LGPL-2.1": ("GNU Lesser General Public License", "2.1", "library", "February 1999"),
+    "LGPL-3.0": ("GNU Lesser General Public License", "3", "library", "29 June 2007"),
+}
+for _key, (_name, _version, _work, _date) in GNU.items():
+    TEMPLATES[_key] = [f"{verb} under the {_name}, version {_version}." for verb in ("Licensed", "Distributed", "This work is licensed")]
+    TEMPLATES[_key] += [f"This {_work} is free software: you can redistribute it and/or modify it under the terms of the {_name} as published by the Free Software Foundation, either version {_version} of the License"]
+    TEMPLATES[_key] += [f"This {_work} is free software; you can redistribute it and/or modify it under the terms of the {_name} version {_version}", f"{_name} Version {_version}, {_date}"]
+#: Creative Commons terms. Fixed values.
+for _code, _terms in {"BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-SA": "Attribution-ShareAlike"}.items():
+    TEMPLATES[f"CC-{_code}-4.0"] = [f"Licensed under CC {_code} 4.0.", f"This work is licensed under a Creative Commons {_terms} 4.0 International License."]
+#: Words that tell licenses apart, besides those with a digit. Fixed values.
+TELLING = {"affero", "lesser", "nc", "nd", "sa", "noncommercial", "noderivatives", "sharealike"}
 #: Between the words of a cue stands anything that is no word: a line may end there, and a comment mark follow.
-CUE = r"(?i)licen[sc]e|copyright|all rights reserved|redistribution and use|hereby granted|creative commons|\bSPDX-|waived all".replace(" ", "[^0-9A-Za-z]+")
+CUE = r"(?i)licen[sc]e|copyright|all rights reserved|redistribution and use|hereby granted|permission is granted|creative commons|public domain|\bSPDX-|waived all".replace(" ", "[^0-9A-Za-z]+")
+_TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()\- \t]+)")
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"[0-9a-z]+(?:\.[0-9a-z]+)*")
 _PLACE = re.compile(r"[0-9A-Za-z]+(?:\.[0-9A-Za-z]+)*")
@@ -55,6 +82,23 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def telling(words: list[str]) -> list[str]:
+    return [w for w in words if w in TELLING or w[0].isdigit()]
+
+
+def tags_of(text: str) -> list[str]:
+    """The identifiers of SPDX tags, in order; exceptions after WITH aren't licenses."""
+    out = []
+    for m in _TAG.finditer(text):
+        words = re.sub(r"[()]", " ", m[1]).split()
+        for before, word in zip(["", *words], words, strict=False):
+            if before in ("", "AND", "OR") and re.search("[A-Za-z]", word):
+                out.append(word)
+            elif word not in ("AND", "OR", "WITH") and before != "WITH":
+                break  # the expression is over
+    return out
+
+
 #: A wording that holds a cue lies within so many words of it on either side.
 REACH = max(len(words_of(t)) + int(MAX_DIFFERENCE * len(words_of(t))) for ts in TEMPLATES.values() for t in ts)
 
@@ -92,7 +136,9 @@ class Scanner:
     @staticmethod
     def alignments(template: list[str], block: list[str], counts: Counter) -> list[tuple[int, frozenset[int]]]:
         """(differing words, places of the matched words) of the template's confirmed alignments, the best of each first word.
-        Words of the template that are missing and foreign words between its first and last match count, the more of the two."""
+        Words of the template that are missing and foreign words between its first and last match count, the more of the two;
+        telling words must be the same."""
+        told = Counter(telling(template))
         n, most, need = len(template), int(MAX_DIFFERENCE * len(template)), Counter(template)
         if sum(min(k, counts[w]) for w, k in need.items()) < n - most:
             return []
@@ -119,30 +165,37 @@ class Scanner:
                     else:
                         i, j = i - 1, j - 1
                         places.append(start + i)
-                out.append((best[0], frozenset(places)))
+                found = [w for w in telling(block[min(places) : max(places) + 1]) if w in TELLING or any(k not in TELLING for k in told)]
+                if not told - Counter(block[p] for p in places) and not Counter(found) - told:
+                    out.append((best[0], frozenset(places)))
         return out
 
+    def ranked(self, wording: str) -> list[int]:
+        """The templates by the size of the wording with each as dictionary, least first."""
+        raw = wording.encode()
+        return [i for _, i in sorted((len(t[4].compress(raw)), i) for i, t in enumerate(self.templates))]
+
     def identify(self, block: str) -> list[tuple[str, float, int]]:
         """(license, saving, differing words) of every confirmed wording. Among wordings that match the same words
-        of the block the closest wins; equally close ones of several licenses all stay."""
+        of the block the one with most matched words wins, where a difference counts against four of them; equal ones of
+        several licenses all stay."""
         words = words_of(block)
         counts, kept, owners = Counter(words), [], {}
-        found = [(n, -len(places), i, min(places), places) for i, t in enumerate(self.templates) for n, places in self.alignments(t[3], words, counts)]
-        for n, _, i, start, places in sorted(found, key=lambda x: x[:4]):
+        found = [(4 * n - len(places), n, rank, min(places), i, places) for rank, i in enumerate(self.ranked(" ".join(words))) for n, places in self.alignments(self.templates[i][3], words, counts)]
+        for score, n, _, start, i, places in sorted(found, key=lambda x: x[:4]):
             name = self.templates[i][0]
-            if any(k == name or m < n for p in places for k, m in owners.get(p, ())):
+            if any(k == name or best < score for p in places for k, best in owners.get(p, ())):
                 continue
-            saving = self.saving(" ".join(words[start : max(places) + 1]), i)
-            if saving > 0:
-                kept.append((name, saving, n))
-                for p in places:
-                    owners.setdefault(p, []).append((name, n))
+            kept.append((name, self.saving(" ".join(words[start : max(places) + 1]), i), n))
+            for p in places:
+                owners.setdefault(p, []).append((name, score))
         return sorted(kept)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_blocks, licenses (sorted names), n_exact (wordings matched in full), n_differences (words), best_saving."""
-    out = "n_blocks long, licenses array<string>, n_exact long, n_differences long, best_saving double"
+    """doc_id, n_blocks, licenses (sorted names of wordings and tags), n_exact (wordings matched in full), n_differences
+    (words), best_saving, n_tags (identifiers in SPDX tags)."""
+    out = "n_tags long, n_blocks long, licenses array<string>, n_exact long, n_differences long, best_saving double"
 
     @F.pandas_udf(out)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -152,8 +205,9 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in texts:
                 blocks = blocks_of(text) if text else []
                 hits = [h for b in blocks for h in scanner.identify(b)]
-                rows.append((len(blocks), sorted({h[0] for h in hits}), sum(h[2] == 0 for h in hits), sum(h[2] for h in hits), max((round(h[1], 6) for h in hits), default=0.0)))
-            yield pd.DataFrame(rows, columns=["n_blocks", "licenses", "n_exact", "n_differences", "best_saving"])
+                tags = tags_of(text) if text else []
+                rows.append((len(tags), len(blocks), sorted({h[0] for h in hits} | set(tags)), sum(h[2] == 0 for h in hits), sum(h[2] for h in hits), max((round(h[1], 6) for h in hits), default=0.0)))
+            yield pd.DataFrame(rows, columns=["n_tags", "n_blocks", "licenses", "n_exact", "n_differences", "best_saving"])
 
     text = F.col("text").cast("string")
     return docs.select("doc_id", find(F.when(text.rlike(CUE), text)).alias("f")).select("doc_id", "f.*")

@@ -210,6 +210,8 @@ def test_every_license_of_a_block_is_found():
                 assert {n for n, _, d in found if d == 0} == {a, b} == {n for n, _, _ in found}, (x, y, found)
     every = "\n".join(t for ts in licenses.TEMPLATES.values() for t in ts)
     assert {n for n, _, d in s.identify(every) if d == 0} == set(licenses.TEMPLATES)
+    five = ["Released under the MIT License.", "Licensed under CC BY-SA 4.0.", "Licensed under the GNU Affero General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "All rights reserved."]
+    assert [n for n, _, _ in s.identify("\n".join(five))] == ["AGPL-3.0", "Apache-2.0", "CC-BY-SA-4.0", "MIT", "Proprietary"]
     assert [(n, d) for n, _, d in s.identify("the of Released openly under the MIT License. the under")] == [("MIT", 1)]
 
 
@@ -217,8 +219,8 @@ def test_wrapped_licenses_are_whole():
     s = licenses.Scanner()
     for name, texts in licenses.TEMPLATES.items():
         for t in texts:
-            for width in range(20, 81, 3):
-                for mark in ("", "# ", " * ", "// "):
+            for width in (20, 41, 72, 80):
+                for mark in ("", " * "):
                     lines = textwrap.wrap("Copyright 2020 Some Body. " + t, width)
                     text = "\n".join(mark + x for x in ["word " * 200, *lines, "", "int main() {", "}", "word " * 200])
                     found = [h for b in licenses.blocks_of(text) for h in s.identify(b)]
@@ -229,6 +231,32 @@ def test_wrapped_licenses_are_whole():
     assert len(licenses.blocks_of(far)) == 2 and licenses.blocks_of("plain words") == []
 
 
+def test_versions_and_kinds_are_told_apart():
+    s = licenses.Scanner()
+    clauses = licenses.BSD_2.replace(": Redis", ":\n\n1. Redis").replace(". Redis", ".\n\n2. Redis")
+    cases = {
+        "Licensed under the GNU Lesser General Public License, version 2.1.": ["LGPL-2.1"],
+        "Licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        "Licensed under the GNU General Public License, version 4.": [],
+        "Licensed under CC BY-NC-ND 4.0.": ["CC-BY-NC-ND-4.0"],
+        "Licensed under CC BY 3.0.": [],
+        "Copyright 1999 A. B.\n" + clauses: ["BSD-2-Clause"],
+        "Copyright 1999 A. B.\n" + clauses + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": ["BSD-3-Clause"],
+        licenses.BSD + ".": ["BSD"],
+        "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.": ["GPL-2.0"],
+        "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007": ["GPL-3.0"],
+    }
+    for text, want in cases.items():
+        assert sorted({n for b in licenses.blocks_of(text) for n, _, _ in s.identify(b)}) == want, text
+
+
+def test_tags_name_licenses(spark):
+    rows = [(1, "// SPDX-License-Identifier: MIT\nint x;"), (2, "/* SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 OR Apache-2.0) */"), (3, "SPDX-License-Identifier: BSD-3-Clause and more words"), (4, "SPDX-License-Identifier:")]
+    got = {r.doc_id: (list(r.licenses), r.n_tags) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (["MIT"], 1), 2: (["Apache-2.0", "GPL-2.0-only"], 2), 3: (["BSD-3-Clause"], 1), 4: ([], 0)}
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_classifier_learns_and_takes_odd_rows(spark):
     g = random.Random(4)
     words = ["river", "stone", "and", "the", "Window.", "light", "over,"]
