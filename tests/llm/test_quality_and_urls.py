@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -98,11 +99,33 @@ def test_reputation_shrinks_to_the_domain(spark):
     hosts = [("bad.spam.net", 500, 480), ("new.spam.net", 1, 0), ("fine.net", 500, 5), ("unseen.fine.net", 0, 0), ("a.good.co.uk", 300, 2)]
     df = spark.createDataFrame(hosts, "host string, n long, bad long")
     got = {r.host: r for r in url_reputation.host_reputation(df).collect()}
-    assert got["bad.spam.net"].bad_bound > 0.9 and got["fine.net"].bad_bound < 0.05
+    assert got["bad.spam.net"].blocked and got["bad.spam.net"].bad_tail < 1e-6 and not got["fine.net"].blocked and got["fine.net"].bad_tail > 0.999
     assert got["new.spam.net"].bad_mean > got["unseen.fine.net"].bad_mean > 0
     assert all(0 < r.bad_mean < 1 for r in got.values())
 
 
+def test_a_host_does_not_speak_for_itself_twice(spark):
+    """The only host of its domain and suffix has the prior of the others, whatever its own outcomes."""
+    own = lambda n, bad: [("one.alone", n, bad), ("a.x.net", 100, 10), ("b.x.net", 100, 12), ("c.y.net", 100, 9)]
+    policy = url_reputation.Policy(min_strength=50.0, max_strength=50.0)
+    for n, bad in ((0, 0), (10, 10), (100, 50)):
+        got = {r.host: r for r in url_reputation.host_reputation(spark.createDataFrame(own(n, bad), "host string, n long, bad long"), policy).collect()}
+        prior = (31 + 0.5) / (300 + 1)
+        assert got["one.alone"].bad_mean == pytest.approx((50 * prior + bad) / (50 + n))
+
+
+def test_mass_of_a_beta_posterior(spark):
+    g = random.Random(2)
+    rows = [(g.uniform(0.2, 60), g.uniform(0.2, 60)) for _ in range(40)] + [(0.5, 0.5), (1.0, 1.0), (300.0, 900.0), (2000.0, 9000.0), (3.0, 1e-3 + 8)]
+    got = url_reputation.with_mass_below(spark.createDataFrame(rows, "alpha double, beta double"), 0.2, "p").collect()
+    for r in got:
+        # Simpson's rule in t with x = 0.2 t**k, which takes the pole at zero away
+        k, n = max(1.0, 3 / r.alpha), 20_000
+        f = lambda t, r=r, k=k: 0.0 if t == 0 else math.exp(math.lgamma(r.alpha + r.beta) - math.lgamma(r.alpha) - math.lgamma(r.beta) + (r.alpha - 1) * math.log(0.2 * t**k) + (r.beta - 1) * math.log1p(-0.2 * t**k)) * 0.2 * k * t ** (k - 1)
+        want = sum(f(i / n) * (1 if i in (0, n) else 4 if i % 2 else 2) for i in range(n + 1)) / (3 * n)
+        assert r.p == pytest.approx(want, abs=1e-6), r
+
+
 def test_labels_may_repeat_and_miss(spark):
     labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (None, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     assert [(r.page_id, r.n, r.bad) for r in url_reputation.outcomes_from_labels(labels).collect()] == [(1, 2, 1)]
