@@ -6,8 +6,9 @@ shingles, or the whole window where that has fewer words. Containment is asked
 for in full, so the necessary prefix of a window is one shingle, and the rarest
 one in the corpus is taken. The steps:
 
-1. every document shingle is joined with the shingles of the items, once; the
-   few that match are stored with their place (the corpus never moves);
+1. every document shingle is looked up in a bitmap of the items' shingle hashes,
+   within the row; the few that are in it are joined with the shingles of the items
+   and stored with their place (the corpus never moves);
 2. shingles are ordered by the number of those matches, over all documents;
 3. stored matches are joined with each window's prefix shingle; the place of the
    shingle fixes where the window would start, and the start and end must lie in
@@ -22,7 +23,9 @@ Item tables are measured and broadcast only below a size limit; beyond it the
 same joins shuffle. Defined cases: null or empty texts have no words and are
 never contaminated; items without words are ignored; equal windows of several
 items count for each; items with a null id mark words but aren't listed;
-repeated item ids count once; empty tables give clean documents.
+repeated item ids count once; of equally rare shingles the least is the prefix;
+texts are read whole; other columns, whatever their names, pass through ``clean``;
+empty tables give clean documents.
 """
 
 from __future__ import annotations
@@ -39,8 +42,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def item_words(text: Column) -> Column:
     """Lower-cased runs of ASCII letters, digits and non-ASCII characters."""
-    plain = F.btrim(F.regexp_replace(ascii_lower(text), NOT_WORD, " "), F.lit(" "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " ", -1))
+    return F.array_remove(F.split(ascii_lower(text), NOT_WORD, -1), "")
 
 
 def _shingles(words: Column, size: int) -> Column:
@@ -50,6 +52,36 @@ def _shingles(words: Column, size: int) -> Column:
     return F.transform(places, lambda i: F.struct(i.alias("pos"), run(i).alias("shingle")))
 
 
+def _hash(words: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(*[F.get(words, at + k) for k in range(size)])
+
+
+#: Bits of the bitmap: as many for each shingle, between these bounds (8 KB to 1 MB). A full one lets all pass to the join.
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 23
+
+
+def _bitmap(wanted: DataFrame) -> Column:
+    """The hashes of wanted(shingle, k) as a constant array of 64-bit words, of bounded size."""
+    bits = LEAST_BITS
+    n = wanted.count()
+    while bits < min(n * BITS_EACH, MOST_BITS):
+        bits *= 2
+    words = F.split("shingle", " ", -1)
+    hashed = F.coalesce(*[F.when(F.col("k") == k, _hash(words, F.lit(0), k)) for k in range(1, SHINGLE + 1)])
+    at = F.pmod(hashed, F.lit(bits))
+    rows = wanted.select((at / 64).cast("int").alias("i"), F.expr("1L").alias("one"), (at % 64).cast("int").alias("b"))
+    rows = rows.groupBy("i").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("v")).collect()  # at most MOST_BITS / 64
+    table = [0] * (bits // 64)
+    for r in rows:
+        table[r.i] = r.v
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+
+
+def _marked(bitmap: Column, size: Column, h: Column) -> Column:
+    at = F.pmod(h, size)
+    return F.getbit(F.get(bitmap, (at / 64).cast("int")), (at % 64).cast("int")) == 1
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """item_id, window (its words joined), len, shingles(pos, shingle); one row per item and distinct window."""
     words = benchmark.select("item_id", item_words(text_or_empty()).alias("w")).filter(F.size("w") > 0)
@@ -65,10 +97,20 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     windows = materialise(item_windows(benchmark, window, shingle), "windows")
     parts = windows.select("window", "len", F.explode("shingles").alias("p")).select("window", "len", "p.pos", "p.shingle").distinct()
     wanted = parts.select("shingle").distinct()
-    sizes = [r[0] for r in windows.select(F.least("len", F.lit(shingle)).alias("k")).distinct().collect()]  # at most ``shingle`` values
+    wanted = materialise(wanted.withColumn("k", F.size(F.split("shingle", " ", -1))), "wanted")
+    sizes = sorted(r.k for r in wanted.select("k").distinct().collect())  # at most ``shingle`` values
     words = docs.select(F.sha2(text_or_empty(), 256).alias("key"), item_words(text_or_empty()).alias("w"))
-    found = F.concat(*[_shingles(F.col("w"), k) for k in sorted(sizes)]) if sizes else _shingles(F.col("w"), shingle)
+    bitmap = _bitmap(wanted)
+    bits = F.lit(64) * F.size(bitmap)
+    hashed = lambda k: lambda i: _hash(F.col("w"), i, k)
+    spelled = lambda k: lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", *[F.get("w", i + j) for j in range(k)]).alias("shingle"))
+    for k in sizes:  # each array is stored before a lambda reads it by index
+        places = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k)).otherwise(F.array().cast("array<int>"))
+        words = words.withColumn(f"h{k}", F.transform(places, hashed(k)))
+    here = [F.filter(F.transform(f"h{k}", lambda h, i: F.when(_marked(bitmap, bits, h), i)), lambda i: i.isNotNull()) for k in sizes]
+    found = F.concat(*[F.transform(p, spelled(k)) for p, k in zip(here, sizes, strict=True)]) if sizes else F.array().cast("array<struct<pos:int,shingle:string>>")
     exploded = words.select("key", F.size("w").alias("n"), F.explode(found).alias("f")).select("key", "n", "f.pos", "f.shingle")
+    wanted = wanted.select("shingle")
     matches = materialise(exploded.join(broadcast_if_small(wanted), "shingle").groupBy("key", "n", "pos", "shingle").agg(F.count("*").alias("copies")), "shingle-matches")
     rarity = matches.groupBy("shingle").agg(F.sum("copies").alias("seen"))
     # a shingle may stand in a window twice; its first place is enough, for the others follow from it
