@@ -68,9 +68,23 @@ def split_words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITESPACE_RUN, -1))
 
 
+def _bytes_of(name: str, kind: str) -> Column:
+    """About how much a value takes in memory."""
+    c = F.col(f"`{name}`")
+    if kind in ("string", "binary"):
+        size = F.octet_length(c)
+    elif kind == "array<string>":
+        size = F.aggregate(c, F.lit(0), lambda a, x: a + F.octet_length(x) + 16)
+    elif kind.startswith("array"):
+        size = 32 * F.size(c)
+    else:
+        size = F.lit(32)
+    return F.coalesce(size, F.lit(0)) + 16
+
+
 def fits_in_memory(df: DataFrame, limit_bytes: int) -> bool:
     """Measure df (one small aggregate) so that a side is broadcast only when it is proven to fit."""
-    width = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) if t == "string" else F.lit(16)) + 16 for c, t in df.dtypes)
+    width = sum(_bytes_of(c, t) for c, t in df.dtypes)
     return (df.agg(F.sum(width.cast("long")).alias("b")).first().b or 0) <= limit_bytes
 
 

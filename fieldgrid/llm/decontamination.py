@@ -139,7 +139,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     covered = hits.select("key", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("p")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     owners = broadcast_if_small(windows.select("window", F.col("item_id").cast("string").alias("item")).distinct())
     items = hits.select("key", "window").distinct().join(owners, "window").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = covered.join(items, "key", "left")
+    found = broadcast_if_small(materialise(covered.join(items, "key", "left"), "found"))
     each = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("key"), F.size(item_words(text_or_empty())).cast("long").alias("n_words"))
     n_hit, listed = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return each.join(found, "key", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

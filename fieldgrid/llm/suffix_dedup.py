@@ -94,7 +94,8 @@ def _census(rows: DataFrame) -> DataFrame:
 
 
 def _fetch(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """The bytes of runs(key, g, c, start, size, mark, low, high)."""
+    """The bytes of runs(key, g, c, start, size, mark, low, high), from one copy of each text: a hot text is one row a task."""
+    texts = texts.groupBy("key").agg(F.first("bytes").alias("bytes"))
     wanted = places.groupBy("key").agg(F.collect_list(F.struct("g", "c", "start", "size", "mark", "low", "high")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
