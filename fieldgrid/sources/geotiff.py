@@ -3,8 +3,10 @@
 Read: classic and BigTIFF, strips or tiles, no, deflate, LZW or PackBits
 compression, without predictor or with the horizontal or the floating-point one,
 integers of 8 to 32 bits and floats. Files come through Spark's binaryFile
-source, so any store works; each file is decoded in the executors, block by
-block. JPEG 2000 isn't decoded.
+source, so any store works. One task cuts a file into its stored blocks, drops
+those outside the wanted window and passes the rest on, still compressed; all
+tasks then decode them, so a large file isn't the work of one. JPEG 2000 isn't
+decoded.
 
 Written: tiled, deflated files. ``write_raster`` compresses the tiles in the
 executors; the driver only strings them together, one partition at a time.
@@ -12,6 +14,7 @@ executors; the driver only strings them together, one partition at a time.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,6 +38,10 @@ PROJECTED_KEY, GEOGRAPHIC_KEY = 3072, 2048
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 
 
+#: First row and column, row and column behind the last.
+Window = tuple[int, int, int, int]
+
+
 class RasterError(ValueError):
     """The file isn't a raster of the supported subset."""
 
@@ -68,7 +75,6 @@ class Header:
 
     @property
     def band_names(self) -> list[str]:
-        import re
         from xml.sax.saxutils import unescape
 
         text = b"".join(self.tags.get(METADATA, ())).decode("utf-8", "replace")
@@ -143,38 +149,66 @@ def unpack_bits(data: bytes) -> bytes:
 UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
 
 
-def _unpredicted(data: bytes, h: Header, width: int, per: int) -> np.ndarray:
+@dataclass
+class Block:
+    """A stored block as it is in the file: where it lies, how many of its rows and columns are pixels, how it is packed."""
+
+    row: int
+    col: int
+    rows: int
+    cols: int
+    width: int
+    bands: int
+    dtype: str
+    compression: int
+    predictor: int
+    planes: list[bytes]
+
+    def values(self) -> np.ndarray:
+        """(rows, columns, bands)"""
+        kind, per = np.dtype(self.dtype), self.bands // len(self.planes)
+        line = self.width * per * kind.itemsize
+        layers = []
+        for packed in self.planes:
+            data = UNPACK[self.compression](packed)
+            layers.append(_unpredicted(data[: len(data) // line * line], kind, self.predictor, self.width, per)[: self.rows, : self.cols])
+        return np.concatenate(layers, axis=2)
+
+
+def _unpredicted(data: bytes, kind: np.dtype, predictor: int, width: int, per: int) -> np.ndarray:
     """A block's values (rows, width, per) with the predictor undone."""
-    predictor, size = h.one(PREDICTOR, 1), h.dtype.itemsize
     if predictor == 3:  # bytes of a row, most significant ones of all values first, as differences
-        rows = np.frombuffer(data, np.uint8).reshape(-1, size * width, per)
-        values = np.cumsum(rows, axis=1, dtype=np.uint8).reshape(-1, size, width * per)
-        return np.ascontiguousarray(values.transpose(0, 2, 1)).view(h.dtype.newbyteorder(">")).reshape(-1, width, per)
-    block = np.frombuffer(data, h.dtype).reshape(-1, width, per)
+        rows = np.frombuffer(data, np.uint8).reshape(-1, kind.itemsize * width, per)
+        values = np.cumsum(rows, axis=1, dtype=np.uint8).reshape(-1, kind.itemsize, width * per)
+        return np.ascontiguousarray(values.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(-1, width, per)
+    block = np.frombuffer(data, kind).reshape(-1, width, per)
     return np.cumsum(block, axis=1, dtype=block.dtype.newbyteorder("=")) if predictor == 2 else block
 
 
-def read_blocks(raw: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, column, values (rows, columns, bands)) of each stored block."""
+def stored_blocks(raw: bytes, window: Window | None = None) -> Iterator[Block]:
+    """The blocks that meet a window of pixels, still compressed."""
     h = read_header(raw)
     width, height, bands = h.one(WIDTH), h.one(HEIGHT), h.one(SAMPLES, 1)
     if h.one(COMPRESSION, 1) not in UNPACK or h.one(PREDICTOR, 1) not in (1, 2, 3):
         raise RasterError(f"compression {h.one(COMPRESSION)} with predictor {h.one(PREDICTOR, 1)} isn't supported")
+    top, left, bottom, right = window or (0, 0, height, width)
     tiled = TILES in h.tags
     bw, bh = (h.one(TILE_W), h.one(TILE_H)) if tiled else (width, min(h.one(STRIP_ROWS, height), height))
     across, down = -(-width // bw), -(-height // bh)
     planes = bands if h.one(PLANAR, 1) == 2 else 1
-    per = bands // planes
     places, sizes = (h.tags[TILES], h.tags[TILE_BYTES]) if tiled else (h.tags[STRIPS], h.tags[STRIP_BYTES])
     for k in range(across * down):
         r, c = k // across * bh, k % across * bw
         rows, cols = min(bh, height - r), min(bw, width - c)
-        layers = []
-        for p in range(planes):
-            i = p * across * down + k
-            data = UNPACK[h.one(COMPRESSION, 1)](raw[places[i] : places[i] + sizes[i]])
-            layers.append(_unpredicted(data[: len(data) // (bw * per * h.dtype.itemsize) * bw * per * h.dtype.itemsize], h, bw, per)[:rows, :cols])
-        yield r, c, np.concatenate(layers, axis=2)
+        if r < bottom and c < right and r + rows > top and c + cols > left:
+            packed = [raw[places[i] : places[i] + sizes[i]] for i in range(k, planes * across * down, across * down)]
+            yield Block(r, c, rows, cols, bw, bands, h.dtype.str, h.one(COMPRESSION, 1), h.one(PREDICTOR, 1), packed)
+
+
+def read_blocks(raw: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, column, values (rows, columns, bands)) of each stored block."""
+    for block in stored_blocks(raw):
+        yield block.row, block.col, block.values()
 
 
 def head(grid: Grid, dtype: np.dtype, bands: int, names: list[str], sizes: list[int], tile: int) -> bytes:
@@ -278,24 +312,51 @@ def _geographic(srid: int) -> bool:
     return is_geographic(srid)
 
 
-def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """path, band, prow, pcol, value (float, NoData as NULL) of all rasters under a path or pattern."""
+#: What a stored block is on its way to the task that decodes it.
+PACKED = "path string, names array<string>, nodata double, row int, col int, rows int, cols int, width int, bands int, dtype string, compression int, predictor int, planes array<binary>"
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, content of the rasters below a folder or pattern, or of the very files that are listed."""
+    if not isinstance(paths, str):
+        paths = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]  # names, not patterns
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(paths)
+    return files.select("path", "content")
+
+
+def read_pixels(spark: SparkSession, paths: str | list[str], windows: dict[str, Window] | None = None) -> DataFrame:
+    """path, band, prow, pcol, value (float, NoData as NULL) of all rasters under a path or pattern, or of a list of files.
+
+    ``windows`` (first row and column, row and column behind the last) by path leave out the pixels elsewhere, and the
+    blocks that hold no others aren't decoded. A file without a window is read whole."""
+    shared = spark.sparkContext.broadcast(windows or {})  # four numbers a file
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 header = read_header(raw)
-                names, nodata = header.band_names, header.nodata
-                for r, c, block in read_blocks(raw):
-                    rows, cols, _ = block.shape
-                    pr, pc = (a.ravel().astype(np.int32) for a in np.mgrid[r : r + rows, c : c + cols])
-                    for k, band in enumerate(names):
-                        v = block[:, :, k].ravel().astype(np.float32)
-                        gone = ~np.isfinite(v) | (v == np.float32(nodata) if nodata is not None else False)
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(v)), pa.array([band] * len(v)), pa.array(pr), pa.array(pc), pa.array(v, mask=gone)], names=["path", "band", "prow", "pcol", "value"])
+                for b in stored_blocks(raw, shared.value.get(name)):
+                    yield pa.RecordBatch.from_pylist([{"path": name, "names": header.band_names, "nodata": header.nodata} | vars(b)], schema=packed)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(path)
-    return files.select("path", "content").mapInArrow(decode, "path string, band string, prow int, pcol int, value float")
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for entry in batch.to_pylist():
+                name, names, nodata = entry.pop("path"), entry.pop("names"), entry.pop("nodata")
+                block = Block(**entry)
+                top, left, bottom, right = shared.value.get(name) or (0, 0, 1 << 31, 1 << 31)
+                r0, c0 = max(top - block.row, 0), max(left - block.col, 0)
+                values = block.values()[r0 : max(bottom - block.row, 0), c0 : max(right - block.col, 0)]
+                rows, cols, _ = values.shape
+                pr, pc = (a.ravel().astype(np.int32) for a in np.mgrid[block.row + r0 : block.row + r0 + rows, block.col + c0 : block.col + c0 + cols])
+                for k, band in enumerate(names):
+                    v = values[:, :, k].ravel().astype(np.float32)
+                    gone = ~np.isfinite(v) | (v == np.float32(nodata) if nodata is not None else False)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(name, len(v)), pa.repeat(band, len(v)), pa.array(pr), pa.array(pc), pa.array(v, mask=gone)], names=["path", "band", "prow", "pcol", "value"])
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
+    packed = pa.schema([(name, kinds[kind]) for name, kind in (f.split(" ") for f in PACKED.split(", "))])
+    blocks = _files(spark, paths).mapInArrow(cut, PACKED).repartition("path", "row", "col")
+    return blocks.mapInArrow(decode, "path string, band string, prow int, pcol int, value float")
 
 
 def read_grids(spark: SparkSession, path: str) -> dict[str, tuple[Grid, list[str]]]:
@@ -310,8 +371,7 @@ def read_grids(spark: SparkSession, path: str) -> dict[str, tuple[Grid, list[str
                 rows.append((name, g.x0, g.y0, g.res, g.width, g.height, g.srid, g.nodata, h.band_names))
             yield pa.RecordBatch.from_pylist([dict(zip(("path", "x0", "y0", "res", "width", "height", "srid", "nodata", "bands"), r, strict=True)) for r in rows], schema=pa.schema([("path", pa.string()), ("x0", pa.float64()), ("y0", pa.float64()), ("res", pa.float64()), ("width", pa.int32()), ("height", pa.int32()), ("srid", pa.int32()), ("nodata", pa.float64()), ("bands", pa.list_(pa.string()))]))
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(path)
-    table = files.select("path", "content").mapInArrow(heads, "path string, x0 double, y0 double, res double, width int, height int, srid int, nodata double, bands array<string>")
+    table = _files(spark, path).mapInArrow(heads, "path string, x0 double, y0 double, res double, width int, height int, srid int, nodata double, bands array<string>")
     return {r.path: (Grid(r.x0, r.y0, r.res, r.width, r.height, r.srid, r.nodata), r.bands) for r in table.collect()}
 
 
