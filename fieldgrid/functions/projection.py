@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 A, FLATTENING, K0, FALSE_EAST, FALSE_NORTH = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10000000.0
@@ -76,3 +76,31 @@ def reproject(x: Column, y: Column, source: int, target: int) -> tuple[Column, C
         return x, y
     lon, lat = (x, y) if source == 4326 else from_utm(x, y, source)
     return (lon, lat) if target == 4326 else to_utm(lon, lat, target)
+
+
+def widest(source: int, target: int) -> float:
+    """At most how many target units a source unit's half square reaches from its centre, corners and stretch included."""
+    if source == target:
+        return 1.0
+    if 4326 in (source, target):
+        if target == 4326:
+            raise ProjectionError("rasters are resampled onto projected grids")
+        return 111_700.0 * 1.5  # metres a degree along the meridian, at most
+    apart = abs(utm_zone(source)[0] - utm_zone(target)[0])
+    if min(apart, 60 - apart) > 2:
+        raise ProjectionError(f"EPSG:{source} and EPSG:{target} are more than two zones apart")
+    return 1.5
+
+
+def with_projected(df: DataFrame, x: str, y: str, source: int, target: int) -> DataFrame:
+    """df with the columns x and y in the target system. Longitude and latitude stand as columns in between, so that
+    they are computed once."""
+    if source == target:
+        return df
+    if source != 4326:
+        lon, lat = from_utm(F.col(x), F.col(y), source)
+        df = df.withColumns({x: lon, y: lat})
+    if target != 4326:
+        east, north = to_utm(F.col(x), F.col(y), target)
+        df = df.withColumns({x: east, y: north})
+    return df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldgrid.functions import paths
 from fieldgrid.functions.bands import clean_value, is_cloud
+from fieldgrid.functions.projection import widest, with_projected
 from fieldgrid.plans.grid import Grid
 
 
@@ -26,6 +27,13 @@ def scene_files(files: DataFrame, auxiliary: bool = False) -> DataFrame:
     return files.filter(supported).select(scene.alias("scene_id"), "path").filter(F.col("scene_id").isNotNull())
 
 
+def products_without_images(files: DataFrame) -> DataFrame:
+    """product: the SAFE folders among files(path) that have no file below GRANULE/*/IMG_DATA."""
+    product = F.regexp_extract("path", r"^((?:.*/)?[^/]+\.SAFE)/", 1).alias("product")
+    parts = files.select(product, F.col("path").rlike(r"\.SAFE/GRANULE/[^/]+/IMG_DATA/").alias("image")).filter("product <> ''")
+    return parts.groupBy("product").agg(F.max("image").alias("image")).filter("NOT image").select("product")
+
+
 def band_candidates(files: DataFrame, bands: list[str]) -> DataFrame:
     """scene_id, band, path for each band token in a file's name."""
     name = F.substring_index("path", "/", -1)
@@ -66,7 +74,10 @@ def complete_bands(catalog: DataFrame, scenes: DataFrame, optional: list[str]) -
 
 
 def discover(files: DataFrame, required: list[str], optional: list[str], target: float | None = None) -> DataFrame:
-    """scene_id, scene_ord, band, path of the complete scenes; raises where a choice is ambiguous or nothing is complete."""
+    """scene_id, scene_ord, band, path of the complete scenes; raises where a product has no images, a choice is ambiguous
+    or nothing is complete."""
+    if empty := products_without_images(files).take(3):
+        raise SceneError(f"no GRANULE/*/IMG_DATA in {[r.product for r in empty]}")
     catalog = pick_candidates(band_candidates(scene_files(files), [*required, *optional]), target)
     if bad := catalog.filter("ambiguous").select("scene_id", "band").take(3):
         raise SceneError(f"several files without a resolution for {bad}")
@@ -126,51 +137,50 @@ def stack(pixels: DataFrame, bands: list[str]) -> DataFrame:
     return pixels.filter(F.col("value").isNotNull()).groupBy("prow", "pcol").agg(*first)
 
 
-def _offsets(source: Grid, target: Grid) -> tuple[float, float]:
-    """How far the source's corner lies below and right of the target's."""
-    return target.y0 - source.y0, source.x0 - target.x0
-
-
 def _targets(source: Grid, target: Grid, pixels: DataFrame, reach: float) -> DataFrame:
-    """Each source pixel with the target pixels whose centres lie within ``reach`` source pixels of its centre, per axis.
-
-    Sources scatter to targets: the number of copies is fixed by the two resolutions, and no join is needed."""
-    down, right = _offsets(source, target)
-
-    def axis(index: Column, n: int, offset: float) -> Column:
-        centre = offset + (index + 0.5) * source.res
-        low = F.ceil((centre - reach * source.res) / target.res - 0.5)
-        high = F.floor((centre + reach * source.res) / target.res - 0.5)
-        low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(n - 1))
+    """Each source pixel with the target pixels (trow, tcol) whose centres may lie within ``reach`` source pixels of its
+    centre, and where those centres are on the source grid (down, right: source pixels from its corner).
+
+    Sources scatter to targets: the number of copies is fixed by the two resolutions, and no join is needed. Between
+    systems a pixel is turned and stretched, so its candidates come from a box around its projected centre."""
+    same = source.srid == target.srid or source.srid is None
+    moved, half = pixels.withColumn("_x", source.center_x(F.col("pcol"))).withColumn("_y", source.center_y(F.col("prow"))), reach * source.res
+    if not same:
+        moved, half = with_projected(moved, "_x", "_y", source.srid, target.srid), half * widest(source.srid, target.srid)
+
+    def axis(centre: Column, n: int) -> Column:
+        low = F.greatest(F.ceil((centre - half) / target.res - 0.5), F.lit(0))
+        high = F.least(F.floor((centre + half) / target.res - 0.5), F.lit(n - 1))
         return F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    placed = pixels.withColumn("trow", F.explode(axis(F.col("prow"), target.height, down)))
-    return placed.withColumn("tcol", F.explode(axis(F.col("pcol"), target.width, right)))
+    placed = moved.withColumn("trow", F.explode(axis(target.y0 - F.col("_y"), target.height)))
+    placed = placed.withColumn("tcol", F.explode(axis(F.col("_x") - target.x0, target.width)))
+    placed = placed.withColumn("_x", target.center_x(F.col("tcol"))).withColumn("_y", target.center_y(F.col("trow")))
+    if not same:
+        placed = with_projected(placed, "_x", "_y", target.srid, source.srid)
+    return placed.withColumn("down", (source.y0 - F.col("_y")) / source.res).withColumn("right", (F.col("_x") - source.x0) / source.res)
 
 
-def _at(target_index: Column, offset: float, source: Grid, target: Grid) -> Column:
-    """A target centre in source pixels from the source's edge."""
-    return ((target_index + 0.5) * target.res - offset) / source.res
+def _carried(source: Grid) -> list[Column]:
+    """Columns that describe the source grid, where it differs from row to row."""
+    return [c for c in (source.x0, source.y0, source.res) if isinstance(c, Column)]
 
 
 def resample_nearest(pixels: DataFrame, source: Grid, target: Grid, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, prow and pcol of the target, and the value of the source pixel that holds its centre."""
-    down, right = _offsets(source, target)
-    hits = _targets(source, target, pixels.select(*keys, "prow", "pcol", F.col(value).alias("v")), 0.5)
-    same = (F.floor(_at(F.col("trow"), down, source, target)) == F.col("prow")) & (F.floor(_at(F.col("tcol"), right, source, target)) == F.col("pcol"))
+    """keys, prow and pcol of the target, and the value of the source pixel that holds its centre.
+
+    The source's corner and resolution may be columns of ``pixels``: files on many grids are one plan then."""
+    hits = _targets(source, target, pixels.select(*keys, "prow", "pcol", F.col(value).alias("v"), *_carried(source)), 0.5)
+    same = (F.floor("down") == F.col("prow")) & (F.floor("right") == F.col("pcol"))
     return hits.filter(same).select(*keys, F.col("trow").alias("prow"), F.col("tcol").alias("pcol"), F.col("v").alias(value))
 
 
 def resample_bilinear(pixels: DataFrame, source: Grid, target: Grid, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """The mean of the up to four valid source pixels around a target centre, weighted by closeness per axis."""
-    down, right = _offsets(source, target)
-
-    def weight(t: Column, s: Column, offset: float) -> Column:
-        return F.greatest(F.lit(1.0) - F.abs(_at(t, offset, source, target) - 0.5 - s), F.lit(0.0))
-
-    hits = _targets(source, target, pixels.select(*keys, "prow", "pcol", F.col(value).alias("v")).filter("v IS NOT NULL"), 1.0)
-    w = weight(F.col("trow"), F.col("prow"), down) * weight(F.col("tcol"), F.col("pcol"), right)
-    summed = hits.withColumn("w", w).filter("w > 1e-12").groupBy(*keys, "trow", "tcol").agg(F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum("w").alias("w"))
+    near = lambda at, s: F.greatest(F.lit(1.0) - F.abs(F.col(at) - 0.5 - F.col(s)), F.lit(0.0))
+    hits = _targets(source, target, pixels.select(*keys, "prow", "pcol", F.col(value).alias("v"), *_carried(source)).filter("v IS NOT NULL"), 1.0)
+    weighed = hits.withColumn("w", near("down", "prow") * near("right", "pcol")).filter("w > 1e-12")
+    summed = weighed.groupBy(*keys, "trow", "tcol").agg(F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum("w").alias("w"))
     return summed.select(*keys, F.col("trow").alias("prow"), F.col("tcol").alias("pcol"), (F.col("wv") / F.col("w")).alias(value))
 
 

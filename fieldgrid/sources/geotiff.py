@@ -34,6 +34,8 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, STRIP_ROWS, STRI
 PLANAR, PREDICTOR, TILE_W, TILE_H, TILES, TILE_BYTES, FORMAT = 284, 317, 322, 323, 324, 325, 339
 SCALE, TIEPOINT, GEOKEYS, METADATA, NODATA = 33550, 33922, 34735, 42112, 42113
 PROJECTED_KEY, GEOGRAPHIC_KEY = 3072, 2048
+#: The code of a system that the file doesn't name by number. Fixed value.
+UNNAMED = 32767
 #: Field type number -> struct code. Fixed values.
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 
@@ -70,7 +72,7 @@ class Header:
         if abs(scale[0] - scale[1]) > 1e-9 * abs(scale[0]):
             raise RasterError("pixels must be square")
         keys = self.tags.get(GEOKEYS, ())
-        srid = next((keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i] in (PROJECTED_KEY, GEOGRAPHIC_KEY)), None)
+        srid = next((keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i] in (PROJECTED_KEY, GEOGRAPHIC_KEY) and keys[i + 3] not in (0, UNNAMED)), None)
         return Grid(tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1], scale[0], self.one(WIDTH), self.one(HEIGHT), srid, -9999.0 if self.nodata is None else self.nodata)
 
     @property
@@ -216,7 +218,7 @@ def head(grid: Grid, dtype: np.dtype, bands: int, names: list[str], sizes: list[
     kind = {"u": 1, "i": 2, "f": 3}[np.dtype(dtype).kind]
     items = "".join(f'<Item name="DESCRIPTION" sample="{i}" role="description">{_escaped(n)}</Item>' for i, n in enumerate(names))
     model = 2 if grid.srid is not None and _geographic(grid.srid) else 1
-    keys = (1, 1, 0, 3, 1024, 0, 1, model, 1025, 0, 1, 1, PROJECTED_KEY if model == 1 else GEOGRAPHIC_KEY, 0, 1, grid.srid or 32767)
+    keys = (1, 1, 0, 3, 1024, 0, 1, model, 1025, 0, 1, 1, PROJECTED_KEY if model == 1 else GEOGRAPHIC_KEY, 0, 1, grid.srid or UNNAMED)
     big = sum(sizes) + 64 * len(sizes) + (1 << 16) >= 1 << 32
     word, step = ("Q", 8) if big else ("I", 4)
     tags = {WIDTH: ("I", (grid.width,)), HEIGHT: ("I", (grid.height,)), BITS: ("H", (np.dtype(dtype).itemsize * 8,) * bands), COMPRESSION: ("H", (8,)), PHOTOMETRIC: ("H", (1,)), SAMPLES: ("H", (bands,)), PLANAR: ("H", (1,)), TILE_W: ("I", (tile,)), TILE_H: ("I", (tile,)), TILES: (word, (0,) * len(sizes)), TILE_BYTES: (word, tuple(sizes)), FORMAT: ("H", (kind,) * bands), SCALE: ("d", (grid.res, grid.res, 0.0)), TIEPOINT: ("d", (0.0, 0.0, 0.0, grid.x0, grid.y0, 0.0)), GEOKEYS: ("H", keys), NODATA: ("s", f"{grid.nodata:g}".encode() + b"\0")}

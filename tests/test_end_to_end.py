@@ -60,7 +60,33 @@ def test_run(spark, tmp_path):
     assert model.classify_pixels(again, stack, again.names).filter("class IS NOT NULL").count() == 1600
 
 
+def test_scenes_of_two_zones_and_a_stack_that_is_there(spark, tmp_path):
+    """The second scene lies in the next zone, on another resolution, and its files name no system; its metadata does."""
+    first, second = Grid(790_000.0, 7_200_000.0, 20.0, 30, 30, 32735), Grid(185_000.0, 7_202_000.0, 20.0, 250, 250, None)
+    for scene, grid, value in (("A", first, 3.0), ("B", second, 7.0)):
+        folder = tmp_path / "img" / scene
+        folder.mkdir(parents=True)
+        for band in ("B04", "B08"):
+            (folder / f"{band}_20m.tif").write_bytes(geotiff.write(np.full((grid.height, grid.width), value, "f4"), grid, [band]))
+    (tmp_path / "img" / "B" / "MTD_TL.xml").write_text("<a><HORIZONTAL_CS_CODE>EPSG:32736</HORIZONTAL_CS_CODE></a>")
+    stack = classification.prepare_stack(spark, Imagery(str(tmp_path / "img"), bands=("B04", "B08"), more_bands=(), metres=None))
+    assert stack.grid.srid == 32735 and stack.grid.res == 20.0
+    seen = {(r.prow, r.pcol): r.B04 for r in stack.pixels.filter("B04 IS NOT NULL").collect()}
+    down, right = int((stack.grid.y0 - first.y0) / 20), int((first.x0 - stack.grid.x0) / 20)
+    own = {(down + r, right + c) for r in range(30) for c in range(30)}
+    assert {c for c, v in seen.items() if v == 3.0} == own  # the first scene wins where it is
+    assert abs(sum(v == 7.0 for v in seen.values()) + len(own & set(seen)) - 250 * 250) < 0.02 * 250 * 250 + 900
+    geotiff.write_raster(stack.pixels, str(tmp_path / "stack.tif"), stack.grid, stack.names)
+    again = classification.prepare_stack(spark, Imagery(stack=str(tmp_path / "stack.tif")))
+    assert again.names == stack.names and again.grid.srid == 32735
+    assert {(r.prow, r.pcol): r.B04 for r in again.pixels.filter("B04 IS NOT NULL").collect()} == seen
+    with pytest.raises(FileNotFoundError):
+        classification.prepare_stack(spark, Imagery(stack=str(tmp_path / "none.tif")))
+    with pytest.raises(FileNotFoundError):
+        classification.prepare_stack(spark, Imagery(str(tmp_path / "none")))
+
+
 def test_choices_are_checked():
-    for bad in (lambda: Search(score="kappa"), lambda: Imagery("x", resampling="cubic"), lambda: Products("x", window=4), lambda: Blocks(held_out=1.0), lambda: Search(keep="most")):
+    for bad in (lambda: Search(score="kappa"), lambda: Imagery("x", resampling="cubic"), lambda: Products("x", window=4), lambda: Blocks(held_out=1.0), lambda: Search(keep="most"), lambda: Imagery(), lambda: Imagery("x", stack="y")):
         with pytest.raises(SettingError):
             bad()

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldgrid.functions.projection import from_utm, to_utm
+from fieldgrid.functions.projection import ProjectionError, from_utm, to_utm, widest, with_projected
 from fieldgrid.operators import mosaic, vector
 from fieldgrid.plans.grid import Grid
 from fieldgrid.sources import geotiff, safe, vectors
@@ -23,6 +23,13 @@ def test_scene_discovery(spark):
         mosaic.discover(files, ["B02", "B12"], [])
 
 
+def test_products_without_images_raise(spark):
+    files = spark.createDataFrame([("x/A.SAFE/MTD_TL.xml",), ("x/A.SAFE/GRANULE/G/QI_DATA/M_B02.jp2",), ("B.SAFE/GRANULE/G/IMG_DATA/T_B02_10m.jp2",), ("s/a_B02_10m.tif",)], "path string")
+    assert [r.product for r in mosaic.products_without_images(files).collect()] == ["x/A.SAFE"]
+    with pytest.raises(mosaic.SceneError, match="IMG_DATA"):
+        mosaic.discover(files, ["B02"], [])
+
+
 def test_ambiguous_files_raise(spark):
     files = spark.createDataFrame([("s/a_B02.tif",), ("s/b_B02.tif",)], "path string")
     with pytest.raises(mosaic.SceneError):
@@ -59,6 +66,44 @@ def test_resampling_between_shifted_grids(spark):
             assert soft.get((r, c)) == (pytest.approx(sum(a * b for a, b in parts) / w) if w > 1e-12 else None)
 
 
+def _project(spark, points, source, target):
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "i int, x double, y double")
+    return [(r.x, r.y) for r in with_projected(df, "x", "y", source, target).orderBy("i").collect()]
+
+
+@pytest.mark.parametrize(("srid", "corner", "res"), [(32736, (105_000.0, 7_200_100.0), 25.0), (32634, (1_500_000.0, -2_800_000.0), 25.0), (4326, (29.95, -25.1), 0.0003)])
+def test_resampling_between_systems_equals_a_lookup_of_every_target(spark, srid, corner, res):
+    """Neighbouring zones, a zone of the other hemisphere two zones away, and degrees."""
+    n, source = 12, Grid(*corner, res, 12, 12, srid)
+    middle = (corner[0] + n / 2 * res, corner[1] - n / 2 * res)
+    x, y = _project(spark, [middle], srid, 32735)[0]
+    target = Grid(x // 10 * 10 - 150, y // 10 * 10 + 150, 10.0, 30, 30, 32735)
+    v = np.random.default_rng(3).integers(0, 99, (n, n)).astype(float)
+    px = spark.createDataFrame([("a", r, c, float(v[r, c]), *corner, res) for r in range(n) for c in range(n)], "k string, prow int, pcol int, v double, _x0 double, _y0 double, _res double")
+    rows = Grid(F.col("_x0"), F.col("_y0"), F.col("_res"), 0, 0, srid)  # the same grid as columns
+    near = {(r.prow, r.pcol): r.v for r in mosaic.resample_nearest(px, source, target, "v", ("k",)).collect()}
+    soft = {(r.prow, r.pcol): r.v for r in mosaic.resample_bilinear(px, rows, target, "v", ("k",)).collect()}
+    cells = [(r, c) for r in range(30) for c in range(30)]
+    at = _project(spark, [(target.x0 + (c + 0.5) * 10, target.y0 - (r + 0.5) * 10) for r, c in cells], 32735, srid)
+    want_near, want_soft = {}, {}
+    for cell, (x, y) in zip(cells, at, strict=True):
+        down, right = (source.y0 - y) / res, (x - source.x0) / res
+        if 0 <= down < n and 0 <= right < n:
+            want_near[cell] = v[int(down), int(right)]
+        parts = [(max(0, 1 - abs(down - 0.5 - i)) * max(0, 1 - abs(right - 0.5 - j)), v[i, j]) for i in range(n) for j in range(n)]
+        if (w := sum(p[0] for p in parts)) > 1e-12:
+            want_soft[cell] = sum(a * b for a, b in parts) / w
+    assert len(want_near) > 300 and near == want_near
+    assert soft == pytest.approx(want_soft)
+
+
+def test_systems_that_rasters_cannot_be_moved_between():
+    for pair in ((32735, 32740), (32735, 4326), (32735, 27700)):
+        with pytest.raises(ProjectionError):
+            widest(*pair)
+    assert widest(32701, 32760) == 1.5  # neighbours across the date line
+
+
 def _ring(*pts):
     return [{"x": float(x), "y": float(y)} for x, y in pts]
 
@@ -151,6 +196,21 @@ def test_geotiff_through_spark(spark, tmp_path):
     assert [g.width for g, _ in grids.values()] == [4]
 
 
+def test_windows_and_lists_of_files(spark, tmp_path):
+    values = np.arange(600 * 500, dtype="f4").reshape(600, 500)
+    for name in ("a [1].tif", "b.tif", "c.tif"):
+        (tmp_path / name).write_bytes(geotiff.write(values, Grid(0.0, 30.0, 10.0, 500, 600, 32735), tile=128))
+    paths = {p.rpartition("/")[2]: p for p in geotiff.read_grids(spark, str(tmp_path))}
+    window = (100, 250, 130, 262)
+    got = geotiff.read_pixels(spark, [paths["a [1].tif"], paths["b.tif"]], {paths["a [1].tif"]: window})
+    want = {(r, c): float(values[r, c]) for r in range(100, 130) for c in range(250, 262)}
+    assert {(r.prow, r.pcol): r.value for r in got.filter("path LIKE '%a [1]%'").collect()} == want
+    assert {r.path: r["count"] for r in got.groupBy("path").count().collect()} == {paths["a [1].tif"]: 360, paths["b.tif"]: 300_000}
+    # blocks outside the window aren't even handed on
+    assert [(b.row, b.col) for b in geotiff.stored_blocks((tmp_path / "b.tif").read_bytes(), window)] == [(0, 128), (0, 256), (128, 128), (128, 256)]
+    assert geotiff.read_pixels(spark, [paths["b.tif"]], {paths["b.tif"]: (700, 0, 600, 500)}).isEmpty()
+
+
 def test_geojson_and_bounds(spark, tmp_path):
     p = tmp_path / "a.geojson"
     p.write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"label":1},"geometry":{"type":"MultiPoint","coordinates":[[1,2],[3,4]]}},{"type":"Feature","properties":{},"geometry":{"type":"Polygon","coordinates":[[[0,0],[5,0],[5,5],[0,0]]]}},{"type":"Feature","properties":null,"geometry":null}]}')
