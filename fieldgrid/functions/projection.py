@@ -41,33 +41,51 @@ def _central(zone: int) -> float:
     return math.radians(zone * 6 - 183)
 
 
+def _conformal(s: Column) -> Column:
+    """From the sine of the latitude to the tangent of the conformal latitude."""
+    return F.sinh(F.atanh(s) - _E * F.atanh(_E * s))
+
+
+def _sphere(t: Column, lam: Column) -> tuple[Column, Column]:
+    """Northing and easting on the sphere (xi, eta)."""
+    return F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(t * t + 1))
+
+
+def _series(terms: list[float], xi: Column, eta: Column) -> tuple[Column, Column]:
+    north, east = xi, eta
+    for j, a in enumerate(terms, 1):
+        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    return north, east
+
+
+def _metres(north: Column, east: Column, south: bool) -> tuple[Column, Column]:
+    return FALSE_EAST + K0 * RADIUS * east, (FALSE_NORTH if south else 0.0) + K0 * RADIUS * north
+
+
+def _unscaled(x: Column, y: Column, south: bool) -> tuple[Column, Column]:
+    return (y - (FALSE_NORTH if south else 0.0)) / (K0 * RADIUS), (x - FALSE_EAST) / (K0 * RADIUS)
+
+
+def _latitude(chi: Column) -> Column:
+    """The conformal latitude inverted by fixed-point steps, each of which gains about two digits and a half."""
+    phi = chi
+    for _ in range(6):
+        phi = F.asin(F.tanh(F.atanh(F.sin(chi)) + _E * F.atanh(_E * F.sin(phi))))
+    return phi
+
+
 def to_utm(lon: Column, lat: Column, srid: int) -> tuple[Column, Column]:
     zone, south = utm_zone(srid)
-    phi, lam = F.radians(lat), F.radians(lon) - _central(zone)
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - _E * F.atanh(_E * s))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(t * t + 1))
-    x, y = eta, xi
-    for j, a in enumerate(ALPHA, 1):
-        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return FALSE_EAST + K0 * RADIUS * x, (FALSE_NORTH if south else 0.0) + K0 * RADIUS * y
+    xi, eta = _sphere(_conformal(F.sin(F.radians(lat))), F.radians(lon) - _central(zone))
+    return _metres(*_series(ALPHA, xi, eta), south)
 
 
 def from_utm(x: Column, y: Column, srid: int) -> tuple[Column, Column]:
     zone, south = utm_zone(srid)
-    xi0, eta0 = (y - (FALSE_NORTH if south else 0.0)) / (K0 * RADIUS), (x - FALSE_EAST) / (K0 * RADIUS)
-    xi, eta = xi0, eta0
-    for j, b in enumerate(BETA, 1):
-        xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
-        eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+    xi, eta = _series([-b for b in BETA], *_unscaled(x, y, south))
     lon = _central(zone) + F.atan2(F.sinh(eta), F.cos(xi))
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
-    # invert the conformal latitude by fixed-point steps; each gains about two digits and a half
-    phi = chi
-    for _ in range(6):
-        phi = F.asin(F.tanh(F.atanh(F.sin(chi)) + _E * F.atanh(_E * F.sin(phi))))
-    return F.degrees(lon), F.degrees(phi)
+    return F.degrees(lon), F.degrees(_latitude(F.asin(F.sin(xi) / F.cosh(eta))))
 
 
 def reproject(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
@@ -93,14 +111,33 @@ def widest(source: int, target: int) -> float:
 
 
 def with_projected(df: DataFrame, x: str, y: str, source: int, target: int) -> DataFrame:
-    """df with the columns x and y in the target system. Longitude and latitude stand as columns in between, so that
-    they are computed once."""
+    """df with the columns x and y in the target system.
+
+    The same arithmetic as ``reproject``, but every intermediate value is a column of its own and the result comes out of
+    a generator: a filter on it can't be pushed below, which would put the formulas into one another and grow them to
+    millions of nodes."""
     if source == target:
         return df
+    old = df.columns
+
+    def step(a: Column, b: Column) -> None:
+        nonlocal df
+        df = df.withColumns({"_pa": a, "_pb": b})
+
+    a, b = F.col("_pa"), F.col("_pb")
+    step(F.col(x), F.col(y))
     if source != 4326:
-        lon, lat = from_utm(F.col(x), F.col(y), source)
-        df = df.withColumns({x: lon, y: lat})
+        zone, south = utm_zone(source)
+        step(*_unscaled(a, b, south))
+        step(*_series([-k for k in BETA], a, b))
+        step(_central(zone) + F.atan2(F.sinh(b), F.cos(a)), F.asin(F.sin(a) / F.cosh(b)))
+        step(F.degrees(a), F.degrees(_latitude(b)))
     if target != 4326:
-        east, north = to_utm(F.col(x), F.col(y), target)
-        df = df.withColumns({x: east, y: north})
-    return df
+        zone, south = utm_zone(target)
+        step(F.sin(F.radians(b)), F.radians(a) - _central(zone))
+        step(_conformal(a), b)
+        step(*_sphere(a, b))
+        step(*_series(ALPHA, a, b))
+        step(*_metres(a, b, south))
+    kept = [c for c in old if c not in (x, y)]
+    return df.select(*kept, F.inline(F.array(F.struct(a.alias(x), b.alias(y))))).select(*old)

@@ -140,6 +140,8 @@ def layer_srid(spark: SparkSession, path: str) -> int:
 def reproject_layer(layer: DataFrame, source: int, target: int) -> DataFrame:
     if source == target:
         return layer
+    if 4326 not in (source, target):  # by way of degrees, so that formulas aren't put into one another
+        return reproject_layer(reproject_layer(layer, source, 4326), 4326, target)
 
     def point(p: Column) -> Column:
         x, y = reproject(p.x, p.y, source, target)
