@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fieldgrid.functions import projection as pj
 from fieldgrid.functions.bands import INDICES
 from fieldgrid.plans import fixtures as fx
 
@@ -56,6 +57,34 @@ FOLDS = """fk AS (SELECT fold, k, count(*) FILTER (label = k) AS t, count(*) FIL
  fs AS (SELECT fold, sum(tp) / sum(t) AS accuracy, avg(CASE WHEN t > 0 THEN tp / t END) AS balanced_accuracy, avg(2 * tp / (t + p)) AS macro_f1 FROM fk WHERE t + p > 0 GROUP BY fold)"""
 
 
+def _fold_scores(rows: str) -> str:
+    """Mean scores over the folds of rows(candidate, label, prediction, fold)."""
+    return f"""rw AS ({rows}), fk AS (SELECT candidate, fold, k, count(*) FILTER (label = k) AS t, count(*) FILTER (prediction = k) AS p, count(*) FILTER (label = k AND prediction = k) AS tp FROM rw, (SELECT unnest(range(1, 7)) AS k) GROUP BY ALL),
+ fs AS (SELECT candidate, fold, sum(tp) / sum(t) AS accuracy, avg(CASE WHEN t > 0 THEN tp / t END) AS balanced_accuracy, avg(2 * tp / (t + p)) AS macro_f1 FROM fk WHERE t + p > 0 GROUP BY ALL),
+ ms AS (SELECT candidate, round(avg(accuracy), 9) AS accuracy, round(avg(balanced_accuracy), 9) AS balanced_accuracy, round(avg(macro_f1), 9) AS macro_f1 FROM fs GROUP BY candidate)"""
+
+
+def _krueger(terms: list[float], sign: str) -> str:
+    east = " ".join(f"{sign} {c!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(terms, 1))
+    return f"xi {east.replace('cos', '#').replace('sinh', 'cosh').replace('#', 'sin')} AS n, eta {east} AS e"
+
+
+def _to_utm(source: str, lon0: int, keys: str) -> str:
+    """tu(keys, x, y): rows(keys, lon, lat) in metres of the southern zone around lon0."""
+    return f"""t1 AS (SELECT {keys}, sinh(atanh(sin(radians(lat))) - {pj._E!r} * atanh({pj._E!r} * sin(radians(lat)))) AS t, radians(lon - {lon0}) AS l FROM {source}),
+ t2 AS (SELECT {keys}, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(t * t + 1)) AS eta FROM t1), t3 AS (SELECT {keys}, {_krueger(pj.ALPHA, '+')} FROM t2),
+ tu AS (SELECT {keys}, 500000 + {pj.K0 * pj.RADIUS!r} * e AS x, 10000000 + {pj.K0 * pj.RADIUS!r} * n AS y FROM t3)"""
+
+
+def _from_utm(source: str, lon0: int, keys: str) -> str:
+    """ll(keys, lon, lat): rows(keys, x, y) of the southern zone around lon0 in degrees."""
+    phi = "chi"
+    for _ in range(6):
+        phi = f"asin(tanh(atanh(sin(chi)) + {pj._E!r} * atanh({pj._E!r} * sin({phi}))))"
+    return f"""l1 AS (SELECT {keys}, (y - 10000000) / {pj.K0 * pj.RADIUS!r} AS xi, (x - 500000) / {pj.K0 * pj.RADIUS!r} AS eta FROM {source}), l2 AS (SELECT {keys}, {_krueger(pj.BETA, '-')} FROM l1),
+ l3 AS (SELECT {keys}, {lon0} + degrees(atan2(sinh(e), cos(n))) AS lon, asin(sin(n) / cosh(e)) AS chi FROM l2), ll AS (SELECT {keys}, lon, degrees({phi}) AS lat FROM l3)"""
+
+
 def _majority(k: int) -> str:
     return f"""{FC}, {GRID}, ov AS (SELECT unnest(range(-{k}, {k} + 1)) AS o),
  vt AS (SELECT c.prow, c.pcol, c.label AS own, n.label AS v, count(*) AS n FROM fc c CROSS JOIN ov a CROSS JOIN ov b CROSS JOIN g
@@ -64,6 +93,9 @@ def _majority(k: int) -> str:
 
 
 _rest = ", ".join(REQ)
+_tried = "SELECT 'constant' AS candidate, label, 1 AS prediction, fold FROM f5 UNION ALL SELECT unnest(['given', 'again']), label, prediction, fold FROM f5"
+_baseline = """SELECT 'baseline' AS candidate, label, m.k AS prediction, f5.fold FROM f5 JOIN (SELECT g.fold, l.label AS k FROM (SELECT DISTINCT fold FROM f5) g JOIN f5 l ON l.fold <> g.fold
+ GROUP BY g.fold, l.label QUALIFY row_number() OVER (PARTITION BY g.fold ORDER BY count(*) DESC, l.label) = 1) m ON m.fold = f5.fold"""
 ORACLES = {
     "spectral_indices": f"WITH {F1}, {SIX} SELECT * FROM six",
     "red_edge_indices": f"WITH {F1} SELECT prow, pcol, {', '.join(_indices(REQ + fx.OPTIONAL)[8:])} FROM f1",
@@ -128,4 +160,20 @@ ORACLES = {
  k AS (SELECT *, floor(h * 6)::INT % 6 AS s, h * 6 - floor(h * 6) AS f, 0.9 AS v, 0.9::DOUBLE * (1 - 0.65::DOUBLE) AS p, 0.9::DOUBLE * (1 - 0.65::DOUBLE * (h * 6 - floor(h * 6))) AS q, 0.9::DOUBLE * (1 - 0.65::DOUBLE * (1 - (h * 6 - floor(h * 6)))) AS t FROM i)
  SELECT label, name, floor(255 * [v, q, p, p, t, v][s + 1])::INT AS red, floor(255 * [t, v, v, q, p, p][s + 1])::INT AS green, floor(255 * [p, p, t, v, v, q][s + 1])::INT AS blue FROM k""",
     "index_stack_schema": "SELECT ord::INT AS ord, name, is_raw FROM (VALUES " + ", ".join(f"({i}, '{n}', {str(n in fx.REQUIRED + fx.OPTIONAL).lower()})" for i, n in enumerate(["B02", "B03", "B04", "B05", "B06", "B07", "B08", "B8A", "B11", "B12", *[x[0] for x in INDICES]])) + ") v(ord, name, is_raw)",
+    "discovered_files": """SELECT * FROM (VALUES ('X.SAFE/GRANULE/G1', 0, 'B02', 'X.SAFE/GRANULE/G1/IMG_DATA/R10m/T_B02_10m.jp2'), ('X.SAFE/GRANULE/G1', 0, 'B11', 'X.SAFE/GRANULE/G1/IMG_DATA/R20m/T_B11_20m.jp2'),
+ ('Y', 1, 'B02', 'Y/a_B02_10m.tif'), ('Y', 1, 'B11', 'Y/a_B11_20m.tif')) v(scene_id, scene_ord, band, path)""",
+    "cloud_mask_files": "SELECT * FROM (VALUES ('X.SAFE/GRANULE/G1', 'X.SAFE/GRANULE/G1/QI_DATA/MSK_CLOUDS_B00.jp2'), ('Y', NULL), ('Z', 'Z/MSK_CLOUDS_Z.tif')) v(scene_id, mask_path)",
+    "product_systems": "SELECT * FROM (VALUES ('epsg', 32735), ('number', 4326), ('empty', NULL), ('other', NULL), ('absent', NULL)) v(product, srid)",
+    "safe_scene_names": "SELECT s_suppkey, regexp_replace(s_name || ' / é.' || s_nationkey, '[^A-Za-z0-9_.-]+', '_', 'g') AS safe FROM supplier",
+    "geotiff_window": f"WITH {F1} SELECT prow, pcol, B08::DOUBLE AS value FROM f1 WHERE B08 IS NOT NULL AND prow >= 2 AND prow < 75 AND prow < (SELECT count(*) // 150 FROM orders) AND pcol >= 20 AND pcol < 90",
+    "resample_between_zones": f"""WITH {F1}, px AS (SELECT r::INT AS r, c::INT AS c, {fx.OVER.x0} + (c + 0.5) * 10 AS x, {fx.OVER.y0} - (r + 0.5) * 10 AS y FROM (SELECT unnest(range(0, 200)) AS r), (SELECT unnest(range(0, 200)) AS c)),
+ {_from_utm('px', 33, 'r, c')}, {_to_utm('ll', 27, 'r, c')} SELECT r AS prow, c AS pcol, B08 FROM tu JOIN f1 ON f1.prow = floor(({fx.EAST[1]} - y) / 10) AND f1.pcol = floor((x - {fx.EAST[0]}) / 10)""",
+    "utm_coordinates": f"WITH {F2}, ps AS (SELECT feature_id, 25 + x / 500 AS lon, y / 500 - 30 AS lat FROM f2), {_to_utm('ps', 27, 'feature_id')} SELECT feature_id, round(x, 4) AS x, round(y, 4) AS y, true AS same FROM tu",
+    "fold_invariants": f"""WITH {SPLITS}, dv AS (SELECT * FROM sp WHERE split = 'development')
+ SELECT count(*) AS samples, true AS folds_allowed, count(DISTINCT block_id) AS blocks, 0::BIGINT AS split_blocks, 0::BIGINT AS without_validation, 0::BIGINT AS without_training FROM dv""",
+    "best_candidate": f"WITH {F5}, {_fold_scores(_tried)} SELECT candidate, macro_f1, candidate = 'given' AS chosen FROM ms",
+    "baseline_scores": f"WITH {F5}, {_fold_scores(_baseline)} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS mean FROM ms" for m in ("balanced_accuracy", "macro_f1", "accuracy")),
+    "kept_features": "SELECT * FROM (VALUES ('median', 0), ('median', 1), ('median', 2), ('mean', 1), ('mean', 2), ('0.6', 1)) v(keep, feature)",
+    "drawn_trials": "SELECT * FROM (VALUES ('forest', 18, 18), ('machine', 15, 15), ('small', 2, 2)) v(space, n, n_distinct)",
+    "rf_map_consistency": f"WITH {F1}, {SIX} SELECT prow, pcol, {ALL_OK} AS classified, {ALL_OK} AS consistent FROM six",
 }

@@ -63,6 +63,22 @@ PATHS = [
     ("B", "one_B12.tif"),
     ("B", "two_B12.tif"),
 ]
+#: path: files of three scenes, one of which lacks a band; masks lie beside the images or in an auxiliary folder.
+FILES = [
+    "X.SAFE/GRANULE/G1/IMG_DATA/R10m/T_B02_10m.jp2",
+    "X.SAFE/GRANULE/G1/IMG_DATA/R20m/T_B02_20m.jp2",
+    "X.SAFE/GRANULE/G1/IMG_DATA/R20m/T_B11_20m.jp2",
+    "X.SAFE/GRANULE/G1/QI_DATA/MSK_CLOUDS_B00.jp2",
+    "Y/a_B02_10m.tif",
+    "Y/a_B11_20m.tif",
+    "Y/a_B8A_20m.tif",
+    "Y/notes.txt",
+    "Z/a_B02_10m.tif",
+    "Z/MSK_CLOUDS_Z.tif",
+]
+#: The pixel grid of the tables moved to the east of UTM zone 35 S, and a grid of zone 36 S over it.
+EAST = (790_000.0, 7_200_000.0, 32735)
+OVER = Grid(185_800.0, 7_199_600.0, 10.0, 200, 200, 32736)
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldgrid.functions import bands, scores
+from fieldgrid.functions import bands, paths, projection, scores
 from fieldgrid.operators import focal, metrics, model, mosaic, spatial, vector
 from fieldgrid.plans import fixtures as fx
-from fieldgrid.plans.settings import Search
-from fieldgrid.sources import sinks
+from fieldgrid.plans.settings import FOREST_SPACE, SVM_SPACE, Search
+from fieldgrid.sources import geotiff, safe, sinks, store
 
 REQ = fx.REQUIRED
 LABELS = [1, 2, 3, 4, 5, 6]
@@ -104,6 +107,43 @@ def band_candidate_pick(spark, d):
     return mosaic.pick_candidates(mosaic.band_candidates(mosaic.scene_files(files), REQ + fx.OPTIONAL), 10.0)
 
 
+def _files(spark):
+    return spark.createDataFrame([(p,) for p in fx.FILES], "path string")
+
+
+@query
+def discovered_files(spark, d):
+    """Scenes x bands: the complete scenes' required bands and the optional ones that all of them have."""
+    return mosaic.discover(_files(spark), ["B02", "B11"], ["B8A"], 10.0)
+
+
+@query
+def cloud_mask_files(spark, d):
+    return mosaic.find_masks(mosaic.scene_files(_files(spark), auxiliary=True), "^MSK_CLOUDS")
+
+
+@query
+def product_systems(spark, d):
+    code = "<a xmlns='u:x'><HORIZONTAL_CS_CODE>{}</HORIZONTAL_CS_CODE></a>"
+    each = {"epsg": code.format(" EPSG:32735 "), "number": code.format("4326"), "empty": code.format(""), "other": code.format("local"), "absent": "<a/>"}
+    return spark.createDataFrame([(k, safe.srid_from_xml(x)) for k, x in each.items()], "product string, srid int")
+
+
+@query
+def safe_scene_names(spark, d):
+    named = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.concat("s_name", F.lit(" / é."), F.col("s_nationkey").cast("string")).alias("name"))
+    return named.select("s_suppkey", paths.safe_id(F.col("name")).alias("safe"))
+
+
+@query
+def geotiff_window(spark, d):
+    """A raster written as GeoTIFF and read again within a window."""
+    uri = store.scratch(spark, "window") + ".tif"
+    geotiff.write_raster(fx.pixels(spark, d).select("prow", "pcol", "B08"), uri, fx.grid(spark, d), ["B08"], tile=32)
+    (path, _), = geotiff.read_grids(spark, uri).items()
+    return geotiff.read_pixels(spark, [path], {path: (2, 20, 75, 90)}).filter("value IS NOT NULL").select("prow", "pcol", F.col("value").cast("double").alias("value"))
+
+
 @query
 def scene_bounds_union(spark, d):
     g, s = fx.grid(spark, d), fx.scenes(spark, d)
@@ -137,6 +177,22 @@ def resample_bilinear(spark, d):
     return out.select("prow", "pcol", F.round("B08", 6).alias("B08"))
 
 
+@query
+def resample_between_zones(spark, d):
+    x0, y0, srid = fx.EAST
+    return mosaic.resample_nearest(fx.pixels(spark, d), replace(fx.grid(spark, d), x0=x0, y0=y0, srid=srid), fx.OVER, "B08")
+
+
+@query
+def utm_coordinates(spark, d):
+    """Points from degrees to metres, and back by the step-wise projection."""
+    p = fx.points(spark, d).select("feature_id", (25 + F.col("x") / 500).alias("lon"), (F.col("y") / 500 - 30).alias("lat"))
+    x, y = projection.to_utm(F.col("lon"), F.col("lat"), 32735)
+    back = projection.with_projected(p.withColumns({"x": x, "y": y, "lon2": x, "lat2": y}), "lon2", "lat2", 32735, 4326)
+    same = (F.abs(F.col("lon") - F.col("lon2")) < 1e-9) & (F.abs(F.col("lat") - F.col("lat2")) < 1e-9)
+    return back.select("feature_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), same.alias("same"))
+
+
 # ---- vectors -------------------------------------------------------------------------------------
 
 
@@ -267,6 +323,22 @@ def cv_folds(spark, d):
     return spatial.add_folds(_split(spark, d).filter("split = 'development'")).select("sample_id", "block_id", "fold")
 
 
+@query
+def fold_invariants(spark, d):
+    """What folds must keep: whole blocks, and every class in each training and validation part."""
+    rows = _split(spark, d).filter("split = 'development'")
+    s = spatial.add_folds(rows)
+    per = s.groupBy("fold", "label").agg(F.count("*").alias("n"))
+    folds, classes = s.select("fold").distinct(), s.select("label").distinct()
+    pairs = folds.crossJoin(F.broadcast(classes)).join(per, ["fold", "label"], "left")  # folds times classes
+    whole = s.groupBy("label").agg(F.count("*").alias("whole"))
+    gaps = pairs.join(whole, "label").agg(F.count_if(F.col("n").isNull()).alias("without_validation"), F.count_if(F.col("n") == F.col("whole")).alias("without_training"))
+    split = s.groupBy("block_id").agg(F.countDistinct("fold").alias("k")).agg(F.count("*").alias("blocks"), F.count_if(F.col("k") > 1).alias("split_blocks"))
+    counts = s.agg(F.count("*").alias("samples"), F.countDistinct("fold").alias("k")).crossJoin(spatial.cv_split_count(rows))
+    counts = counts.select("samples", F.col("k").between(2, F.col("n_splits")).alias("folds_allowed"))
+    return counts.crossJoin(split).crossJoin(gaps)  # one row each
+
+
 # ---- metrics -------------------------------------------------------------------------------------
 
 
@@ -299,6 +371,37 @@ def fold_summary(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query
+def best_candidate(spark, d):
+    """Fold scores of three predictions, two of them equal, and the choice among them: the first of the best."""
+    rows = fx.scored(spark, d)
+    tried = {"constant": rows.withColumn("prediction", F.lit(1)), "given": rows, "again": rows}
+    results = {k: model.summary([v.select("label", "prediction", "fold")]) for k, v in tried.items()}
+    best = model.first_best(results, "macro_f1")
+    out = [(k, round(r["macro_f1"]["mean"], 9), k == best) for k, r in results.items()]
+    return spark.createDataFrame(out, "candidate string, macro_f1 double, chosen boolean")
+
+
+@query
+def baseline_scores(spark, d):
+    """The majority class of the other folds, scored in each fold."""
+    r = model.dummy_result(fx.scored(spark, d).select("label", "fold"))
+    return spark.createDataFrame([(m, round(r[m]["mean"], 9)) for m in model.METRICS], "metric string, mean double")
+
+
+@query
+def kept_features(spark, d):
+    importance = np.array([0.125, 0.5, 0.25, 0.0625, 0.0625])
+    return spark.createDataFrame([(str(k), i) for k in ("median", "mean", 0.6) for i in model.important(importance, k)], "keep string, feature int")
+
+
+@query
+def drawn_trials(spark, d):
+    spaces = {"forest": (FOREST_SPACE, 18), "machine": (SVM_SPACE, 15), "small": ({"a": [1, 2], "b": [3]}, 9)}
+    drawn = {k: model.draw_trials(s, n, 42) for k, (s, n) in spaces.items()}
+    return spark.createDataFrame([(k, len(t), len({str(x) for x in t})) for k, t in drawn.items()], "space string, n int, n_distinct int")
+
+
 @query
 def class_weights(spark, d):
     return metrics.class_weights(fx.scored(spark, d))
@@ -403,9 +506,24 @@ def model_comparison(spark, d):
     return spark.createDataFrame(rows, "model string, metric string, mean double, std double, chosen boolean")
 
 
+def _map(spark, d) -> tuple[DataFrame, list[int]]:
+    samples, names = _model_samples(spark, d)
+    fitted = model.fit_forest(samples, names, "bands_plus_indices", {"n_estimators": 8, "max_depth": 4}, Search(**SMALL))
+    return model.classify_pixels(fitted, _six(spark, d), names), fitted.labels
+
+
 @query
 def rf_predict_map(spark, d):
     """Every pixel's class, confidence, uncertainty and entropy under a fitted forest."""
-    samples, names = _model_samples(spark, d)
-    fitted = model.fit_forest(samples, names, "bands_plus_indices", {"n_estimators": 8, "max_depth": 4}, Search(**SMALL))
-    return model.classify_pixels(fitted, _six(spark, d), names)
+    return _map(spark, d)[0]
+
+
+@query
+def rf_map_consistency(spark, d):
+    """What a map must keep: a class where all features are valid, and scores that agree with the class vector."""
+    out, labels = _map(spark, d)
+    p, top = F.col("probabilities"), F.array_max("probabilities")
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    right = (F.abs(total - 1) < 1e-9) & (F.abs(F.col("confidence") - top) < 1e-6) & (F.abs(F.col("uncertainty") - (1 - F.col("confidence"))) < 1e-6) & F.col("entropy").between(0, 1.000001)
+    right = right & (F.get(p, F.array_position(F.array(*[F.lit(k) for k in labels]), F.col("class")).cast("int") - 1) == top)
+    return out.select("prow", "pcol", F.col("class").isNotNull().alias("classified"), F.coalesce(right, F.lit(False)).alias("consistent"))
