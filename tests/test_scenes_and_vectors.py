@@ -334,3 +334,11 @@ def test_layer_systems(spark, tmp_path):
     (tmp_path / "c.shp").write_bytes(b"")
     with pytest.raises(vectors.VectorError):
         vectors.layer_srid(spark, str(tmp_path / "c.shp"))
+
+
+def test_layers_move_between_zones(spark):
+    made = spark.createDataFrame([(1, [(790_000.0, 7_200_000.0)], [[(790_000.0, 7_200_000.0), (791_000.0, 7_200_500.0)]])], "feature_id long, points array<struct<x:double,y:double>>, rings array<array<struct<x:double,y:double>>>")
+    moved = vectors.reproject_layer(made, 32735, 32736).first()
+    want = _project(spark, [(790_000.0, 7_200_000.0), (791_000.0, 7_200_500.0)], 32735, 32736)
+    assert [tuple(p) for p in moved.points] == [pytest.approx(want[0], abs=1e-6)]
+    assert [tuple(p) for p in moved.rings[0]] == [pytest.approx(w, abs=1e-6) for w in want]
