@@ -37,8 +37,9 @@ def utm_zone(srid: int) -> tuple[int, bool]:
     raise ProjectionError(f"EPSG:{srid} is no WGS 84 UTM zone")
 
 
-def _central(zone: int) -> float:
-    return math.radians(zone * 6 - 183)
+def _central(zone: int) -> int:
+    """Degrees; taken off before the turn to radians, so near the meridian no digits go."""
+    return zone * 6 - 183
 
 
 def _conformal(s: Column) -> Column:
@@ -77,15 +78,15 @@ def _latitude(chi: Column) -> Column:
 
 def to_utm(lon: Column, lat: Column, srid: int) -> tuple[Column, Column]:
     zone, south = utm_zone(srid)
-    xi, eta = _sphere(_conformal(F.sin(F.radians(lat))), F.radians(lon) - _central(zone))
+    xi, eta = _sphere(_conformal(F.sin(F.radians(lat))), F.radians(lon - _central(zone)))
     return _metres(*_series(ALPHA, xi, eta), south)
 
 
 def from_utm(x: Column, y: Column, srid: int) -> tuple[Column, Column]:
     zone, south = utm_zone(srid)
     xi, eta = _series([-b for b in BETA], *_unscaled(x, y, south))
-    lon = _central(zone) + F.atan2(F.sinh(eta), F.cos(xi))
-    return F.degrees(lon), F.degrees(_latitude(F.asin(F.sin(xi) / F.cosh(eta))))
+    lon = _central(zone) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
+    return lon, F.degrees(_latitude(F.asin(F.sin(xi) / F.cosh(eta))))
 
 
 def reproject(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
@@ -130,11 +131,11 @@ def with_projected(df: DataFrame, x: str, y: str, source: int, target: int) -> D
         zone, south = utm_zone(source)
         step(*_unscaled(a, b, south))
         step(*_series([-k for k in BETA], a, b))
-        step(_central(zone) + F.atan2(F.sinh(b), F.cos(a)), F.asin(F.sin(a) / F.cosh(b)))
-        step(F.degrees(a), F.degrees(_latitude(b)))
+        step(F.atan2(F.sinh(b), F.cos(a)), F.asin(F.sin(a) / F.cosh(b)))
+        step(_central(zone) + F.degrees(a), F.degrees(_latitude(b)))
     if target != 4326:
         zone, south = utm_zone(target)
-        step(F.sin(F.radians(b)), F.radians(a) - _central(zone))
+        step(F.sin(F.radians(b)), F.radians(a - _central(zone)))
         step(_conformal(a), b)
         step(*_sphere(a, b))
         step(*_series(ALPHA, a, b))

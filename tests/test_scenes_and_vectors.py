@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldgrid import queries
 from fieldgrid.functions.projection import ProjectionError, from_utm, to_utm, widest, with_projected
 from fieldgrid.operators import mosaic, vector
 from fieldgrid.plans.grid import Grid
@@ -297,6 +298,20 @@ def _packbits(data):
     return out + bytes([128])
 
 
+def test_points_at_and_beyond_a_pole_come_back(spark, tmp_path):
+    spark.range(1_800_000).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    keys = spark.range(0, 15000, 500).select(F.col("id").alias("c_custkey"), F.lit(1).alias("c_nationkey"), F.lit("A").alias("c_mktsegment"))
+    keys.write.parquet(str(tmp_path / "customer.parquet"))
+    out = queries.utm_coordinates(spark, str(tmp_path)).collect()
+    assert len(out) == 30 and all(r.same for r in out)  # latitudes up to 210 degrees
+
+
+def test_a_tie_is_rounded_by_the_binary_number(spark, tmp_path):
+    spark.range(900_000).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(7598, 7599).select(F.col("id").alias("c_custkey"), F.lit(1).alias("c_nationkey"), F.lit("A").alias("c_mktsegment")).write.parquet(str(tmp_path / "customer.parquet"))
+    assert queries.utm_coordinates(spark, str(tmp_path)).first().y == 17076659.8031  # 17076659.80315 lies below its decimal
+
+
 def test_tiff_compressions_predictors_and_big_files():
     rng = np.random.default_rng(4)
     floats, ints = rng.normal(0, 100, (7, 9)).astype("f4"), rng.integers(0, 60000, (7, 9)).astype("u2")
